@@ -85,7 +85,7 @@ def exact_percentiles(df: DataFrame, group: Sequence[str], value: str, points: d
     """
     counted = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
     return counted.groupBy(*group).agg(
-        *[F.percentile(value, F.lit(p), "_n").alias(name) for name, p in points.items()]
+        *[F.percentile(value, F.lit(p), F.col("_n")).alias(name) for name, p in points.items()]
     )
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rankwell.runtime import durable
+
 PAIR = ["study", "role", "trial_a", "trial_b"]
 # Published soft targets: metric, limit, whether the metric must stay above (True) or below it.
 SOFT_TARGETS = [
@@ -196,9 +198,11 @@ def rank_correlation(rankings: DataFrame, baseline: int | None = None, block: in
     """Kendall tau and Spearman rho on shared candidates; zeros with fewer than two.
 
     Ranks have no ties, so tau = 1 - 4D / n(n-1) with D discordant pairs, and rho follows from the
-    squared differences of the ranks renumbered within the shared candidates.
+    squared differences of the ranks renumbered within the shared candidates. The renumbered ranks are
+    read four times, so they are made durable once.
     """
     compact = _compact(_compact(shared_ranks(rankings, baseline), "rank_a", "ra", block), "rank_b", "rb", block)
+    compact = durable(compact.select(*PAIR, "ra", "rb"))
     gap = (F.col("ra") - F.col("rb")).cast("double")
     n = F.col("_n").cast("double")
     stats = (
@@ -224,19 +228,35 @@ def rank_correlation(rankings: DataFrame, baseline: int | None = None, block: in
 
 
 def pair_metrics(rankings: DataFrame, baseline: int | None = None, block: int = BLOCK) -> DataFrame:
-    """All agreement metrics of every trial pair in one row."""
-    top10 = topk_overlap(rankings, 10, baseline).select(
-        *PAIR,
-        F.col("jaccard").alias("top_10_jaccard"),
-        F.col("newcomer_rate").alias("newcomer_rate_top_10"),
-        F.col("drop_rate").alias("drop_rate_top_10"),
-    )
-    top50 = topk_overlap(rankings, 50, baseline).select(*PAIR, F.col("jaccard").alias("top_50_jaccard"))
-    shifts = rank_shift(rankings, baseline).select(
-        *PAIR, F.col("max_shift").alias("max_rank_shift"), F.col("mean_shift").alias("mean_abs_rank_shift")
+    """All agreement metrics of every trial pair in one row; overlap and shift share one self-join."""
+    shift = F.abs(F.col("rank_a") - F.col("rank_b"))
+
+    def common(k: int) -> Column:
+        return F.count_if((F.col("rank_a") <= k) & (F.col("rank_b") <= k))
+
+    shared = shared_ranks(rankings, baseline).groupBy(*PAIR).agg(
+        common(10).alias("i10"), common(50).alias("i50"),
+        F.max(shift).cast("double").alias("_max"), F.avg(shift).alias("_mean"),
     )
+
+    def ratio(top: Column, bottom: Column) -> Column:
+        return F.when(bottom > 0, top / bottom).otherwise(F.lit(0.0))
+
+    i10, i50 = F.coalesce("i10", F.lit(0)), F.coalesce("i50", F.lit(0))
+    a10, b10, a50, b50 = (F.col(c) for c in ("a10", "b10", "a50", "b50"))
     return (
-        top10.join(top50, PAIR).join(shifts, PAIR).join(rank_correlation(rankings, baseline, block), PAIR)
+        trial_pairs(rankings, baseline)
+        .join(shared, PAIR, "left")
+        .select(
+            *PAIR,
+            ratio(i10, a10 + b10 - i10).alias("top_10_jaccard"),
+            ratio(i50, a50 + b50 - i50).alias("top_50_jaccard"),
+            ratio(b10 - i10, b10).alias("newcomer_rate_top_10"),
+            ratio(a10 - i10, a10).alias("drop_rate_top_10"),
+            F.coalesce("_max", F.lit(0.0)).alias("max_rank_shift"),
+            F.coalesce("_mean", F.lit(0.0)).alias("mean_abs_rank_shift"),
+        )
+        .join(rank_correlation(rankings, baseline, block), PAIR)
     )
 
 
@@ -278,7 +298,7 @@ def _flags() -> Column:
     checks = []
     for metric, limit, above in SOFT_TARGETS:
         broken = F.col(metric) < limit if above else F.col(metric) > limit
-        text = F.format_string(f"{metric}=%.3f {'<' if above else '>'} {limit:.2f}", F.col(metric))
+        text = F.format_string(f"{metric}=%.4f {'<' if above else '>'} {limit:.2f}", F.col(metric))
         checks.append(F.when(broken, text))
     return F.filter(F.array(*checks), lambda c: c.isNotNull())
 

@@ -51,7 +51,8 @@ class Tables:
 
     def sql(self, text: str) -> DataFrame:
         refs = {ref: self.view(ref) for ref in _REF.findall(text)}
-        return self.spark.sql(text, **refs)
+        literal = text.replace("{", "{{").replace("}", "}}")
+        return self.spark.sql(re.sub(r"\{\{(\w+)\}\}", r"{\1}", literal), **refs)
 
 
 def _needed(names: list[str], out: list[str]) -> list[str]:

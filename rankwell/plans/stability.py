@@ -112,7 +112,7 @@ def _(t: Tables):
 
 
 def _flag(metric: str, op: str, limit: str) -> str:
-    return f"CASE WHEN {metric} {op} {limit} THEN '{metric}=' || printf('%.3f', {metric}) || ' {op} {float(limit):.2f}' END"
+    return f"CASE WHEN {metric} {op} {limit} THEN '{metric}=' || printf('%.4f', {metric}) || ' {op} {float(limit):.2f}' END"
 
 
 _FLAGS = ", ".join(_flag(m, "<" if above else ">", str(limit)) for m, limit, above in S.SOFT_TARGETS)
