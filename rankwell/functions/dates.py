@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rankwell.functions.core import let
+
 # How date ranges are written.
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 LONG_MONTHS = [
@@ -29,7 +31,10 @@ def _month_number(name: Column) -> Column:
 
 def single_date(token: Column) -> Column:
     """struct(year, month, is_present) of one date token; nulls when it is no date."""
-    token = F.trim(token)
+    return let(F.trim(token), _single_date)
+
+
+def _single_date(token: Column) -> Column:
     slash, dash, named = r"^(\d{1,2})/(\d{4})", r"^(\d{4})-(\d{2})", r"^([A-Za-z]+)\s+(\d{4})"
     month = _month_number(F.regexp_extract(token, named, 1))
     year = (
@@ -52,9 +57,17 @@ def date_range(dates: Column, as_of: tuple[int, int]) -> Column:
     A missing start month is January, a missing end month December, both ends count. A lone date stands
     for its whole year: 12 months, marked as inferred.
     """
-    first, second = F.regexp_extract(dates, RANGE, 1), F.regexp_extract(dates, RANGE, 2)
-    start, end, alone = single_date(first), single_date(second), single_date(F.trim(dates))
-    is_range = first != ""
+    first = F.regexp_extract(dates, RANGE, 1)
+    parts = F.struct(
+        (first != "").alias("is_range"),
+        single_date(first).alias("start"),
+        single_date(F.regexp_extract(dates, RANGE, 2)).alias("end"),
+        single_date(dates).alias("alone"),
+    )
+    return let(parts, lambda p: _range_fields(p["is_range"], p["start"], p["end"], p["alone"], as_of))
+
+
+def _range_fields(is_range: Column, start: Column, end: Column, alone: Column, as_of: tuple[int, int]) -> Column:
     current = F.coalesce(is_range & end["is_present"], F.lit(False))
     end_year = F.coalesce(end["year"], F.lit(as_of[0]))
     end_month = F.coalesce(end["month"], F.when(current, F.lit(as_of[1])))
@@ -78,7 +91,10 @@ def date_range(dates: Column, as_of: tuple[int, int]) -> Column:
 
 def month_number(text: Column, as_of: tuple[int, int]) -> Column:
     """Month number of ``YYYY-MM``, ``YYYY`` (mid-year), a present word, or the first year in the text."""
-    clean = F.lower(F.trim(text))
+    return let(F.lower(F.trim(text)), lambda clean: _month_number_of(clean, as_of))
+
+
+def _month_number_of(clean: Column, as_of: tuple[int, int]) -> Column:
     present = F.contains(clean, F.lit("present")) | F.contains(clean, F.lit("current")) | F.contains(clean, F.lit("ongoing"))
     dash = r"^(\d{4})-(\d{2})$"
     year = F.regexp_extract(clean, r"\b(19\d{2}|20\d{2})\b", 1)

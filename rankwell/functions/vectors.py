@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rankwell.functions.core import let
+
 
 def dot(a: Column, b: Column) -> Column:
     """Inner product in double precision; vectors of different length fail the job."""
@@ -24,8 +26,7 @@ def norm(v: Column) -> Column:
 def l2_normalize(v: Column) -> Column:
     """Unit-length copy of ``v`` in double precision; a zero vector stays as it is."""
     doubles = v.cast("array<double>")
-    parts = F.struct(doubles.alias("v"), norm(v).alias("n"))
-    return F.transform(
-        F.array(parts),
+    return let(
+        F.struct(doubles.alias("v"), norm(v).alias("n")),
         lambda p: F.when(p["n"] > 0, F.transform(p["v"], lambda x: x / p["n"])).otherwise(p["v"]),
-    )[0]
+    )

@@ -1,4 +1,4 @@
 """All registered queries; importing this package fills the registry."""
 
-from rankwell.plans import evaluation, preparation, retrieval, scoring, stability, temporal  # noqa: F401
+from rankwell.plans import evaluation, preparation, retrieval, scoring, stability, temporal, text  # noqa: F401
 from rankwell.plans.catalog import ORACLES, QUERIES  # noqa: F401

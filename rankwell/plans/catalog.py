@@ -21,7 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 _VIEWS: dict[str, tuple[str, str]] = {}
 
-_REF = re.compile(r"\{(\w+)\}")
+_REF = re.compile(r"\{([a-z]\w*)\}")
 
 
 def view(name: str, shared: str | None = None, *, spark: str | None = None, oracle: str | None = None) -> None:
@@ -52,7 +52,7 @@ class Tables:
     def sql(self, text: str) -> DataFrame:
         refs = {ref: self.view(ref) for ref in _REF.findall(text)}
         literal = text.replace("{", "{{").replace("}", "}}")
-        return self.spark.sql(re.sub(r"\{\{(\w+)\}\}", r"{\1}", literal), **refs)
+        return self.spark.sql(re.sub(r"\{\{([a-z]\w*)\}\}", r"{\1}", literal), **refs)
 
 
 def _needed(names: list[str], out: list[str]) -> list[str]:
