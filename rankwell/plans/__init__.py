@@ -1,4 +1,7 @@
 """All registered queries; importing this package fills the registry."""
 
-from rankwell.plans import evaluation, preparation, retrieval, scoring, stability, temporal, text  # noqa: F401
-from rankwell.plans.catalog import ORACLES, QUERIES  # noqa: F401
+from rankwell.plans import evaluation, matching, preparation, retrieval, scoring, stability, temporal, text  # noqa: F401
+from rankwell.plans import catalog
+
+QUERIES = dict(catalog.QUERIES)
+ORACLES = {name: catalog.oracle_query(statement) for name, statement in catalog.ORACLES.items()}

@@ -83,7 +83,7 @@ def query(name: str, oracle: str | None = None):
     def register(fn: Callable[[Tables], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
         if oracle is not None:
-            ORACLES[name] = oracle_query(oracle)
+            ORACLES[name] = oracle
         return fn
 
     return register
