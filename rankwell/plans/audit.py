@@ -254,12 +254,12 @@ view(
     spark="""SELECT c_custkey AS candidate_id, c_nationkey <> 4 AS has_profile, CASE WHEN c_nationkey = 3 THEN NULL ELSE c_name END AS full_name,
        CASE WHEN c_acctbal < 1000 THEN array() ELSE array('a@x.org') END AS emails, CASE WHEN c_acctbal < 3000 THEN CAST(NULL AS ARRAY<STRING>) ELSE array('1') END AS phones,
        CASE WHEN c_mktsegment = 'BUILDING' THEN CAST(NULL AS ARRAY<STRUCT<confidence: DOUBLE>>) ELSE array(named_struct('confidence', CAST(0.9 AS DOUBLE)), named_struct('confidence', CAST(0.5 AS DOUBLE))) END AS skills,
-       CASE WHEN c_nationkey = 5 THEN CAST(array() AS ARRAY<STRUCT<confidence: DOUBLE>>) ELSE array(named_struct('confidence', c_acctbal / 9000)) END AS education,
+       CASE WHEN c_nationkey = 5 THEN CAST(array() AS ARRAY<STRUCT<confidence: DOUBLE>>) ELSE array(named_struct('confidence', c_acctbal / 9001)) END AS education,
        CASE WHEN c_nationkey >= 5 AND c_mktsegment = 'BUILDING' THEN CAST(array() AS ARRAY<STRUCT<confidence: DOUBLE>>) ELSE array(named_struct('confidence', CAST(0.75 AS DOUBLE))) END AS experience,
        CAST(array() AS ARRAY<STRUCT<confidence: DOUBLE>>) AS certifications FROM {customer}""",
     oracle="""SELECT c_custkey AS candidate_id, c_nationkey <> 4 AS has_profile, CASE WHEN c_nationkey = 3 THEN NULL ELSE c_name END AS full_name,
        c_acctbal >= 1000 AS emails, c_acctbal >= 3000 AS phones, CASE WHEN c_mktsegment = 'BUILDING' THEN []::DOUBLE[] ELSE [0.9, 0.5] END AS skills,
-       CASE WHEN c_nationkey = 5 THEN []::DOUBLE[] ELSE [c_acctbal / 9000] END AS education,
+       CASE WHEN c_nationkey = 5 THEN []::DOUBLE[] ELSE [c_acctbal / 9001] END AS education,
        CASE WHEN c_nationkey >= 5 AND c_mktsegment = 'BUILDING' THEN []::DOUBLE[] ELSE [0.75] END AS experience FROM customer""",
 )
 
