@@ -23,10 +23,9 @@ def _int(value: Column) -> Column:
 
 
 def _month_number(name: Column) -> Column:
-    known = F.when(F.lower(name) == "sept", 9)
-    for i, (short, full) in enumerate(zip(MONTHS, LONG_MONTHS), start=1):
-        known = known.when(F.lower(name).isin(short, full), i)
-    return known
+    pairs = [*zip(MONTHS, range(1, 13)), *zip(LONG_MONTHS, range(1, 13)), ("sept", 9)]
+    table = F.map_from_arrays(*(F.array(*[F.lit(v) for v in side]) for side in zip(*dict(pairs).items())))
+    return F.try_element_at(table, F.lower(name))
 
 
 def single_date(token: Column) -> Column:
@@ -36,19 +35,27 @@ def single_date(token: Column) -> Column:
 
 def _single_date(token: Column) -> Column:
     slash, dash, named = r"^(\d{1,2})/(\d{4})", r"^(\d{4})-(\d{2})", r"^([A-Za-z]+)\s+(\d{4})"
-    month = _month_number(F.regexp_extract(token, named, 1))
-    year = (
-        F.when(F.rlike(token, F.lit(r"^\d{4}$")), _int(token))
-        .when(F.rlike(token, F.lit(slash)), _int(F.regexp_extract(token, slash, 2)))
-        .when(F.rlike(token, F.lit(dash)), _int(F.regexp_extract(token, dash, 1)))
-        .when(month.isNotNull(), _int(F.regexp_extract(token, named, 2)))
-    )
-    month = (
-        F.when(F.rlike(token, F.lit(slash)), _int(F.regexp_extract(token, slash, 1)))
-        .when(F.rlike(token, F.lit(dash)), _int(F.regexp_extract(token, dash, 2)))
-        .otherwise(month)
+
+    def of(year: Column, month: Column, is_present: bool = False) -> Column:
+        return F.struct(
+            year.cast("int").alias("year"), month.cast("int").alias("month"), F.lit(is_present).alias("is_present")
+        )
+
+    def by_name() -> Column:
+        return let(
+            _month_number(F.regexp_extract(token, named, 1)),
+            lambda m: of(F.when(m.isNotNull(), _int(F.regexp_extract(token, named, 2))), m),
+        )
+
+    nothing = of(F.lit(None), F.lit(None))
+    return (
+        F.when(token.isNull() | (token == ""), nothing)
+        .when(F.rlike(token, F.lit(r"^\d{4}$")), of(_int(token), F.lit(None)))
+        .when(F.rlike(token, F.lit(slash)), of(_int(F.regexp_extract(token, slash, 2)), _int(F.regexp_extract(token, slash, 1))))
+        .when(F.rlike(token, F.lit(dash)), of(_int(F.regexp_extract(token, dash, 1)), _int(F.regexp_extract(token, dash, 2))))
+        .when(F.lower(token).isin(PRESENT), of(F.lit(None), F.lit(None), True))
+        .otherwise(by_name())
     )
-    return F.struct(year.alias("year"), month.alias("month"), F.lower(token).isin(PRESENT).alias("is_present"))
 
 
 def date_range(dates: Column, as_of: tuple[int, int]) -> Column:
@@ -57,12 +64,15 @@ def date_range(dates: Column, as_of: tuple[int, int]) -> Column:
     A missing start month is January, a missing end month December, both ends count. A lone date stands
     for its whole year: 12 months, marked as inferred.
     """
-    first = F.regexp_extract(dates, RANGE, 1)
-    parts = F.struct(
-        (first != "").alias("is_range"),
-        single_date(first).alias("start"),
-        single_date(F.regexp_extract(dates, RANGE, 2)).alias("end"),
-        single_date(dates).alias("alone"),
+    ends = F.struct(F.regexp_extract(dates, RANGE, 1).alias("first"), F.regexp_extract(dates, RANGE, 2).alias("second"))
+    parts = let(
+        ends,
+        lambda e: F.struct(
+            (e["first"] != "").alias("is_range"),
+            single_date(e["first"]).alias("start"),
+            single_date(e["second"]).alias("end"),
+            single_date(F.when(e["first"] == "", dates)).alias("alone"),
+        ),
     )
     return let(parts, lambda p: _range_fields(p["is_range"], p["start"], p["end"], p["alone"], as_of))
 

@@ -87,6 +87,19 @@ def _date_ok(value: Column) -> Column:
     return blank | ((_kind(value) == "STRING") & F.rlike(strip(text), F.lit(r"^\d{4}(-\d{2})?$")))
 
 
+def _field_check(profile: Column, name: str, kinds: list[str]) -> Column:
+    where = f"candidate_profile.{name}"
+
+    def check(x: Column) -> Column:
+        wrong = ~F.is_variant_null(x["v"]) & ~_kind(x["v"]).isin(kinds)
+        return F.coalesce(
+            _check(x["v"].isNull(), f"schema_field_missing_{name}", "error", "schema", where),
+            _check(wrong, f"schema_field_type_invalid_{name}", "error", "schema", where),
+        )
+
+    return let(F.struct(_get(profile, f"$.{name}").alias("v")), check)
+
+
 def audit_schema(raw: DataFrame) -> DataFrame:
     """Schema findings and score per candidate. ``raw``: candidate_id, raw_json.
 
@@ -101,10 +114,7 @@ def audit_schema(raw: DataFrame) -> DataFrame:
     )
     fields = []
     for name, kinds in PROFILE_FIELDS.items():
-        value = _get(F.col("_p"), f"$.{name}")
-        fields.append(_check(value.isNull(), f"schema_field_missing_{name}", "error", "schema", f"candidate_profile.{name}"))
-        wrong = ~F.is_variant_null(value) & ~_kind(value).isin(kinds)
-        fields.append(_check(wrong, f"schema_field_type_invalid_{name}", "error", "schema", f"candidate_profile.{name}"))
+        fields.append(_field_check(F.col("_p"), name, kinds))
 
     def per_entry(name: str, short: str, with_current: bool) -> tuple[Column, Column]:
         entries = _entries(F.col("_p"), name)
@@ -182,39 +192,43 @@ def audit_completeness(profiles: DataFrame) -> DataFrame:
     n_education, n_certifications, n_skills.
     """
 
-    def findings(text: Column) -> Column:
-        low = F.lower(text)
-        spans = F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(DATE_SPAN), F.lit(0))))
-        half = F.floor(spans / 2)
-
-        def empty(n: str) -> Column:
-            return F.col(n) == 0
+    def empty(n: str) -> Column:
+        return F.col(n) == 0
 
+    def findings(text: Column) -> Column:
         def seen(pattern: str) -> Column:
             return F.rlike(text, F.lit(pattern))
 
-        jobs_missing = seen(EXPERIENCE_HEADING) & empty("n_experience")
-        degrees_missing = seen(EDUCATION_HEADING) & empty("n_education")
-        return _failed([
-            _check(seen(EMAIL) & empty("n_emails"), "completeness_email_missing", "warning", "field", "emails"),
-            _check(seen(PHONE) & empty("n_phones"), "completeness_phone_missing", "warning", "field", "phones"),
-            _check(seen(LINKS) & empty("n_links"), "completeness_links_missing", "warning", "field", "links"),
-            _check(jobs_missing, "completeness_exp_section_empty", "error", "section", "experience"),
-            _check(
-                ~jobs_missing & (spans > 2) & (F.col("n_experience") <= half),
-                "completeness_exp_count_low", "warning", "section", "experience",
-            ),
-            _check(degrees_missing, "completeness_edu_section_empty", "error", "section", "education"),
-            _check(
-                ~degrees_missing & has_any(low, EDUCATION_WORDS) & empty("n_education"),
-                "completeness_edu_missing_heuristic", "warning", "field", "education",
-            ),
-            _check(
-                has_any(low, CERTIFICATE_WORDS) & empty("n_certifications"),
-                "completeness_certs_missing_heuristic", "warning", "field", "certifications",
-            ),
-            _check(seen(SKILL_HEADING) & empty("n_skills"), "completeness_skills_section_empty", "warning", "section", "skills"),
-        ])
+        spans = F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(DATE_SPAN), F.lit(0))))
+        facts = F.struct(
+            F.lower(text).alias("low"),
+            (empty("n_experience") & seen(EXPERIENCE_HEADING)).alias("jobs"),
+            (empty("n_education") & seen(EDUCATION_HEADING)).alias("degrees"),
+            F.when(F.contains(text, F.lit("20")) | F.contains(text, F.lit("19")) | seen(r"\d{4}"), spans).otherwise(0).alias("spans"),
+        )
+
+        # Each condition starts with what is cheap and usually false; And stops there.
+        def checks(f: Column) -> Column:
+            few_jobs = (f["spans"] > 2) & (F.col("n_experience") <= F.floor(f["spans"] / 2))
+            return _failed([
+                _check(empty("n_emails") & F.contains(text, F.lit("@")) & seen(EMAIL), "completeness_email_missing", "warning", "field", "emails"),
+                _check(empty("n_phones") & seen(PHONE), "completeness_phone_missing", "warning", "field", "phones"),
+                _check(empty("n_links") & F.contains(text, F.lit(".com/")) & seen(LINKS), "completeness_links_missing", "warning", "field", "links"),
+                _check(f["jobs"], "completeness_exp_section_empty", "error", "section", "experience"),
+                _check(~f["jobs"] & few_jobs, "completeness_exp_count_low", "warning", "section", "experience"),
+                _check(f["degrees"], "completeness_edu_section_empty", "error", "section", "education"),
+                _check(
+                    empty("n_education") & ~f["degrees"] & has_any(f["low"], EDUCATION_WORDS),
+                    "completeness_edu_missing_heuristic", "warning", "field", "education",
+                ),
+                _check(
+                    empty("n_certifications") & has_any(f["low"], CERTIFICATE_WORDS),
+                    "completeness_certs_missing_heuristic", "warning", "field", "certifications",
+                ),
+                _check(empty("n_skills") & seen(SKILL_HEADING), "completeness_skills_section_empty", "warning", "section", "skills"),
+            ])
+
+        return let(facts, checks)
 
     collapsed = F.trim(F.regexp_replace(F.coalesce("raw_text", F.lit("")), r"\s+", " "))
     return profiles.select("candidate_id", let(collapsed, findings).alias("checks")).select(

@@ -249,11 +249,15 @@ def presence_match(profile_lines: DataFrame, reqs: DataFrame, synonyms: dict[str
     """First profile line mentioning a requirement, by section priority, with a snippet.
 
     ``profile_lines``: role, candidate_id, section_prio, section, pos, text; ``reqs``: role, req_id, req_name.
-    Lines meet aliases on (role, first token); only those candidates are tested with the pattern.
+    Lines meet aliases on (role, first token): a line keeps the tokens its role's aliases can begin with, a list as
+    short as the aliases, and only the candidates found so are tested with the pattern.
     """
     aliases = requirement_aliases(reqs.select("role", "req_id", "req_name"), synonyms)
+    wanted = aliases.groupBy("role").agg(F.collect_set("token").alias("_wanted"))
     hits = (
-        profile_lines.withColumn("token", F.explode(M.tokens(F.col("text"))))
+        profile_lines.join(wanted, "role")
+        .withColumn("token", F.explode(F.array_intersect(M.tokens(F.col("text")), "_wanted")))
+        .drop("_wanted")
         .join(aliases, ["role", "token"])
         .filter(F.rlike("text", F.col("pattern")))
     )

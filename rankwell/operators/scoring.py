@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankwell.functions.bands import (
     YEARS_PHRASES, binary_score, has_any, is_years_subquery, qualitative_band, subquery_kind, years_band,
 )
+from rankwell.functions.core import let
 
 REQ = ["role", "candidate_id", "req_id"]
 FLOOR = 0.01
@@ -95,17 +96,44 @@ JUDGE_SCHEMA = T.StructType([
 ])
 
 
-def parse_years(raw):
+def parse_years(raw: Column) -> Column:
     """Years as a number from ``3``, ``"~2.5 yrs"``, ``"3+"``; null when there is no number."""
     text = F.regexp_replace(F.trim(raw), r"^[~<>≈≥≤+\-]+", "")
     text = F.regexp_replace(F.trim(text), r"(?i)\s*(years?|yrs?|y)\s*$", "")
-    text = F.regexp_replace(text, r"[^0-9.]+$", "")
-    return F.coalesce(
-        text.try_cast("double"),
-        F.when(text != "", F.regexp_extract(raw, r"(\d+(?:\.\d+)?)", 1).try_cast("double")),
+    return let(
+        F.regexp_replace(text, r"[^0-9.]+$", ""),
+        lambda t: F.coalesce(
+            t.try_cast("double"), F.when(t != "", F.regexp_extract(raw, r"(\d+(?:\.\d+)?)", 1).try_cast("double"))
+        ),
     )
 
 
+def _answer_score(sq: Column, answers: Column, tenure_years: Column) -> Column:
+    """struct(sq_key, kind, sub_score) of one sub-query from the response's answers, before the rescue."""
+
+    def banded(a: Column) -> Column:
+        return let(
+            F.struct(parse_years(a["extracted_years"]).alias("y")),
+            lambda p: F.when(p["y"].isNotNull(), years_band(p["y"], sq["target_years"])).otherwise(qualitative_band(a["level"])),
+        )
+
+    def from_answer(a: Column) -> Column:
+        given = F.coalesce(a["sub_score"].try_cast("double"), F.lit(0.0))
+        score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), given))
+        found = F.lower(F.trim(F.coalesce(a["evidence_found"], F.lit("")))) == "yes"
+        return (
+            F.when(a.isNull(), FLOOR)
+            .when(sq["kind"] == "binary", binary_score((score >= 0.5) | found))
+            .when(sq["kind"] == "four_band", banded(a))
+            .otherwise(score)
+        )
+
+    asks_years = (sq["target_years"] > 0) & (tenure_years > 0) & has_any(F.lower(sq["sq_text"]), YEARS_PHRASES)
+    answer = F.get(F.filter(answers, lambda a: a["key"] == sq["sq_key"]), 0)
+    value = F.when(asks_years, years_band(tenure_years, sq["target_years"])).otherwise(let(answer, from_answer))
+    return F.struct(sq["sq_key"].alias("sq_key"), sq["kind"].alias("kind"), value.alias("sub_score"))
+
+
 def score_judge_responses(
     responses: DataFrame, sub_queries: DataFrame, tenure: DataFrame | None = None
 ) -> DataFrame:
@@ -114,43 +142,36 @@ def score_judge_responses(
     ``responses``: role, candidate_id, req_id, response; ``sub_queries``: role, req_id, sq_key, sq_text, kind,
     target_years; ``tenure``: role, candidate_id, total_months. Unknown keys drop out and missing keys, like a
     response that does not parse, get the floor. Years questions take the computed tenure when a target is set.
-    A passed binary gate lifts a floored four-band score to 0.25.
+    A passed binary gate lifts a floored four-band score to 0.25. A response is scored within its row against
+    the short list of its requirement's sub-queries, so responses are not regrouped.
     """
-    asked = responses.select(*REQ).join(sub_queries, ["role", "req_id"])
-    answers = (
-        responses.select(*REQ, F.posexplode(F.from_json("response", JUDGE_SCHEMA)["sub_scores"]).alias("_p", "_a"))
-        .groupBy(*REQ, F.col("_a.key").alias("sq_key"))
-        .agg(F.min_by("_a", "_p").alias("_a"))
-    )
-    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col("_a.sub_score").try_cast("double"), F.lit(0.0))))
-    years = parse_years(F.col("_a.extracted_years"))
-    banded = F.when(years.isNotNull(), years_band(years, F.col("target_years"))).otherwise(
-        qualitative_band(F.col("_a.level"))
-    )
-    found = F.lower(F.trim(F.coalesce(F.col("_a.evidence_found"), F.lit("")))) == "yes"
-    rows = asked.join(answers, [*REQ, "sq_key"], "left").withColumn(
-        "sub_score",
-        F.when(F.col("_a").isNull(), FLOOR)
-        .when(F.col("kind") == "binary", binary_score((score >= 0.5) | found))
-        .when(F.col("kind") == "four_band", banded)
-        .otherwise(score),
-    )
-    if tenure is not None:
-        detected = F.round(F.col("total_months") / 12, 2)
-        rows = rows.join(tenure, ["role", "candidate_id"], "left").withColumn(
-            "sub_score",
-            F.when(
-                (F.col("target_years") > 0)
-                & (F.col("total_months") > 0)
-                & has_any(F.lower(F.col("sq_text")), YEARS_PHRASES),
-                years_band(detected, F.col("target_years")),
-            ).otherwise(F.col("sub_score")),
+    asked = sub_queries.groupBy("role", "req_id").agg(
+        F.array_sort(F.collect_list(F.struct("sq_key", "sq_text", "kind", "target_years"))).alias("_sq")
+    )
+    rows = responses.join(asked, ["role", "req_id"])
+    if tenure is None:
+        rows = rows.withColumn("_years", F.lit(None).cast("double"))
+    else:
+        rows = rows.join(tenure, ["role", "candidate_id"], "left").withColumn("_years", F.round(F.col("total_months") / 12, 2))
+    answers = F.coalesce(F.from_json("response", JUDGE_SCHEMA)["sub_scores"], F.array().cast(JUDGE_SCHEMA["sub_scores"].dataType))
+    scored = let(
+        answers, lambda a: F.transform("_sq", lambda sq: _answer_score(sq, a, F.col("_years")))
+    )
+
+    def rescue(results: Column) -> Column:
+        gate = F.exists(results, lambda r: (r["kind"] == "binary") & (r["sub_score"] >= 0.5))
+        return let(
+            gate,
+            lambda g: F.transform(
+                results,
+                lambda r: F.struct(
+                    r["sq_key"].alias("sq_key"),
+                    F.when(g & (r["kind"] == "four_band") & (r["sub_score"] <= FLOOR), 0.25).otherwise(r["sub_score"]).alias("sub_score"),
+                ),
+            ),
         )
-    gate = F.max((F.col("kind") == "binary") & (F.col("sub_score") >= 0.5)).over(Window.partitionBy(*REQ))
-    return rows.withColumn(
-        "sub_score",
-        F.when(gate & (F.col("kind") == "four_band") & (F.col("sub_score") <= FLOOR), 0.25).otherwise(F.col("sub_score")),
-    ).select(*REQ, "sq_key", "sub_score")
+
+    return rows.select(*REQ, F.explode(let(scored, rescue)).alias("_r")).select(*REQ, "_r.sq_key", "_r.sub_score")
 
 
 def graded_items(items: DataFrame) -> DataFrame:
