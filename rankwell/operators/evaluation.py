@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankwell.operators.ranking import exact_percentiles, row_numbers
+from rankwell.runtime import small_side
 
 FLOOR_LIMIT = 0.25
 SUSPECT_PERCENT = 30.0
@@ -23,7 +24,7 @@ def judge_total(judge: DataFrame, weights: DataFrame, explicit: DataFrame | None
     if explicit is not None:
         sums = sums.join(explicit, keys, "left").withColumn("_sum", F.coalesce("sub_score_sum", "_sum"))
     return (
-        sums.join(weights.select("role", "req_id", "weight_pct"), ["role", "req_id"])
+        sums.join(small_side(weights.select("role", "req_id", "weight_pct")), ["role", "req_id"])
         .groupBy("role", "candidate_id")
         .agg(F.round(F.sum(F.col("weight_pct") * F.col("_sum") / F.col("_n")), 4).alias("judge_total"))
     )
@@ -106,7 +107,7 @@ def score_variance(totals: DataFrame, req_scores: DataFrame) -> DataFrame:
         F.avg("total").alias("mean_total"),
         F.coalesce(F.when(F.count(F.lit(1)) > 1, F.var_samp("total")), F.lit(0.0)).alias("variance"),
     ).withColumn("std", F.sqrt("variance"))
-    beyond = scoped.join(stats.select("scope", "mean_total", "std"), "scope").groupBy("scope").agg(
+    beyond = scoped.join(small_side(stats.select("scope", "mean_total", "std")), "scope").groupBy("scope").agg(
         F.count_if(F.col("total") > F.col("mean_total") + 2 * F.col("std")).alias("n_high"),
         F.count_if(F.col("total") < F.col("mean_total") - 2 * F.col("std")).alias("n_low"),
     )

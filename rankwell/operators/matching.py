@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rankwell.functions import matching as M
 from rankwell.functions.bands import binary_score, grade_band, has_any, tier_band
 from rankwell.operators.ranking import top_rows
+from rankwell.runtime import small_side
 
 # Other words for a requirement. Entries holding \b are patterns, all others literal phrases.
 SYNONYMS = {
@@ -144,7 +145,7 @@ def location_match(candidates: DataFrame, reqs: DataFrame) -> DataFrame:
     ``candidates``: role, candidate_id, raw_text; ``reqs``: role, req_id, req_name.
     """
     terms = reqs.select("role", "req_id", M.location_term(F.col("req_name")).alias("term"))
-    return candidates.join(terms, "role").select(
+    return candidates.join(small_side(terms), "role").select(
         "role", "candidate_id", "req_id", "term",
         ((F.col("term") != "") & F.contains(F.lower("raw_text"), F.col("term"))).alias("matched"),
     )
@@ -165,7 +166,7 @@ def section_evidence(chunks: DataFrame, reqs: DataFrame, max_chars: int = MAX_FU
     there are some and fewer than all. Rows keep the chunks; :func:`evidence_text` joins them.
     """
     routed = route_sections(reqs).withColumn("_s", F.lower("section")).drop("section", "category")
-    rows = chunks.withColumn("_s", F.lower("section")).join(routed, ["role", "_s"]).drop("_s")
+    rows = chunks.withColumn("_s", F.lower("section")).join(small_side(routed), ["role", "_s"]).drop("_s")
     skilled = (F.col("req_type") == "skill") & F.exists(
         "skills_asserted", lambda s: F.lower(s) == F.lower(F.col("req_name"))
     )
@@ -252,8 +253,8 @@ def presence_match(profile_lines: DataFrame, reqs: DataFrame, synonyms: dict[str
     Lines meet aliases on (role, first token): a line keeps the tokens its role's aliases can begin with, a list as
     short as the aliases, and only the candidates found so are tested with the pattern.
     """
-    aliases = requirement_aliases(reqs.select("role", "req_id", "req_name"), synonyms)
-    wanted = aliases.groupBy("role").agg(F.collect_set("token").alias("_wanted"))
+    aliases = small_side(requirement_aliases(reqs.select("role", "req_id", "req_name"), synonyms))
+    wanted = small_side(aliases.groupBy("role").agg(F.collect_set("token").alias("_wanted")))
     hits = (
         profile_lines.join(wanted, "role")
         .withColumn("token", F.explode(F.array_intersect(M.tokens(F.col("text")), "_wanted")))
@@ -292,7 +293,7 @@ def years_near_alias(texts: DataFrame, reqs: DataFrame, synonyms: dict[str, list
     own = M.years_near(F.col("text"), F.col("pattern"))
     summary = M.years_near(F.coalesce("summary", F.lit("")), F.col("pattern"))
     return (
-        texts.join(patterns, "role")
+        texts.join(small_side(patterns), "role")
         .withColumn("years", own)
         .withColumn("years", F.when(F.col("years") > 0, F.col("years")).otherwise(summary))
         .select("role", "candidate_id", "req_id", "years")
@@ -347,7 +348,7 @@ def code_only_req_score(
         candidates.select("role", "candidate_id", "grade")
         .join(first_points(degrees, "institution", institutes, "_inst"), ["role", "candidate_id"], "left")
         .join(first_points(certs, "provider", providers, "_cert"), ["role", "candidate_id"], "left")
-        .join(sub_queries, "role")
+        .join(small_side(sub_queries), "role")
         .join(matched, keys, "left")
         .withColumn("sub_score", score)
         .groupBy(*keys, "weight_pct")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rankwell.functions.vectors import dot, l2_normalize
 from rankwell.operators.ranking import rank_candidates, top_rows
+from rankwell.runtime import small_side
 
 DEFAULT_TOP_K = 5
 DEFAULT_MAX_CHUNKS = 20
@@ -20,13 +21,12 @@ def cosine_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """One row per chunk and sub-query of the same role, with their cosine.
 
     ``chunks``: role, candidate_id, chunk_id, embedding; ``queries``: role, req_id, sq_pos, query.
-    The role equi-join keeps every candidate to its own role's queries. No side is forced to broadcast:
-    the adaptive planner broadcasts the query side when its measured size allows and splits a hot role
-    across tasks when it does not. Cosines are kept to 9 dp, so that exact copies tie.
+    The role equi-join keeps every candidate to its own role's queries. The queries are broadcast when
+    measured small, so chunks are scored where they are read; otherwise a hot role is split at run time. Cosines are kept to 9 dp, so that exact copies tie.
     """
     left = chunks.select("role", "candidate_id", "chunk_id", l2_normalize(F.col("embedding")).alias("_c"))
     right = queries.select("role", "req_id", "sq_pos", l2_normalize(F.col("query")).alias("_q"))
-    return left.join(right, "role").select(
+    return left.join(small_side(right), "role").select(
         "role", "candidate_id", "chunk_id", "req_id", "sq_pos",
         F.round(dot(F.col("_c"), F.col("_q")), 9).alias("cosine"),
     )

@@ -10,6 +10,7 @@ from rankwell.functions.bands import (
     YEARS_PHRASES, binary_score, has_any, is_years_subquery, qualitative_band, subquery_kind, years_band,
 )
 from rankwell.functions.core import let
+from rankwell.runtime import small_side
 
 REQ = ["role", "candidate_id", "req_id"]
 FLOOR = 0.01
@@ -28,7 +29,7 @@ def req_scores(sq_scores: DataFrame, weights: DataFrame) -> DataFrame:
     ``sq_scores``: role, candidate_id, req_id, sub_score; ``weights``: role, req_id, weight_pct.
     """
     sums = sq_scores.groupBy(*REQ).agg(F.sum("sub_score").alias("sub_score_sum"), F.count(F.lit(1)).alias("n_sq"))
-    return sums.join(weights.select("role", "req_id", "weight_pct"), ["role", "req_id"]).withColumn(
+    return sums.join(small_side(weights.select("role", "req_id", "weight_pct")), ["role", "req_id"]).withColumn(
         "contribution", F.round(F.col("weight_pct") * F.col("sub_score_sum") / F.col("n_sq"), 4)
     )
 
@@ -50,7 +51,7 @@ def apply_block_rules(
     n_ev = evidence.groupBy(*REQ).agg(F.count(F.lit(1)).alias("n_evidence"))
     sums = sq_scores.groupBy(*REQ).agg(F.sum("sub_score").alias("_sum"), F.count(F.lit(1)).alias("_n"))
     rows = (
-        candidates.join(weights.join(n_sq, ["role", "req_id"], "left"), "role")
+        candidates.join(small_side(weights.join(n_sq, ["role", "req_id"], "left")), "role")
         .join(n_ev, REQ, "left")
         .join(sums, REQ, "left")
     )
@@ -148,7 +149,7 @@ def score_judge_responses(
     asked = sub_queries.groupBy("role", "req_id").agg(
         F.array_sort(F.collect_list(F.struct("sq_key", "sq_text", "kind", "target_years"))).alias("_sq")
     )
-    rows = responses.join(asked, ["role", "req_id"])
+    rows = responses.join(small_side(asked), ["role", "req_id"])
     if tenure is None:
         rows = rows.withColumn("_years", F.lit(None).cast("double"))
     else:

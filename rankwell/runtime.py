@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -36,3 +37,28 @@ def durable(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder in the shared location for a table written and read back within one job."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when a scan has fewer splits than that; a table of many splits is left alone.
+
+    Per-row text work on one small file would otherwise run in one task. At scale the scan has far more splits
+    than cores and this adds nothing.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
+
+
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The side of a join expected to be small, with a broadcast hint only when it has been measured to be.
+
+    The side is made durable once, so measuring does not compute it twice. Beyond the limits it comes back
+    without a hint and the join shuffles, with skewed keys split at run time.
+    """
+    kept = durable(df)
+    width = F.sum(F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in kept.columns]))))
+    rows, size = kept.agg(F.count(F.lit(1)), F.coalesce(width, F.lit(0))).first()
+    return F.broadcast(kept) if rows <= max_rows and size <= max_bytes else kept
