@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from rankwell.functions import splitting, text as X
 from rankwell.functions.core import let
-from rankwell.operators.ranking import exact_percentiles
 
 # Fixed order of sections when chunks are numbered across a candidate.
 SECTION_ORDER = ["summary", "experience", "education", "projects", "skills", "certifications", "languages"]
@@ -150,24 +149,23 @@ def chunk_report(chunks: DataFrame) -> DataFrame:
     per_candidate = chunks.groupBy("role", "candidate_id").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("section", F.lit("")) == "").alias("_empty")
     )
-    stats = per_candidate.agg(
-        F.sum("n").alias("total_chunks"),
-        F.count(F.lit(1)).alias("total_candidates"),
-        F.round(F.avg("n"), 2).alias("mean_chunks"),
-        F.min("n").alias("min_chunks"),
-        F.max("n").alias("max_chunks"),
-        F.round(F.sum("_empty") / F.sum("n"), 4).alias("empty_rate"),
-        F.lit(1).alias("_k"),
-    )
-    spread = exact_percentiles(per_candidate.withColumn("_k", F.lit(1)), ["_k"], "n", {"median_chunks": 0.5, "p95_chunks": 0.95})
-    top = (
-        per_candidate.groupBy("role").agg(F.sum("n").alias("n"))
-        .agg(F.max_by("role", F.struct("n", "role")).alias("largest_role"), F.lit(1).alias("_k"))
-    )
+    sizes = per_candidate.groupBy("n").agg(F.count(F.lit(1)).alias("c"), F.sum("_empty").alias("e"))
+    roles = per_candidate.groupBy("role").agg(F.sum("n").alias("t"))
+    # Both summaries are short; one pass over their union gives the single row.
+    both = sizes.unionByName(roles, allowMissingColumns=True)
+    total, weight = F.sum(F.col("n") * F.col("c")), F.coalesce("c", F.lit(0))
     return (
-        stats.join(spread, "_k")
-        .join(top, "_k")
-        .drop("_k")
+        both.agg(
+            total.alias("total_chunks"),
+            F.sum("c").alias("total_candidates"),
+            F.round(total / F.sum("c"), 2).alias("mean_chunks"),
+            F.min("n").alias("min_chunks"),
+            F.max("n").alias("max_chunks"),
+            F.round(F.sum("e") / total, 4).alias("empty_rate"),
+            F.percentile("n", F.lit(0.5), weight).alias("median_chunks"),
+            F.percentile("n", F.lit(0.95), weight).alias("p95_chunks"),
+            F.max_by("role", F.when(F.col("t").isNotNull(), F.struct("t", "role"))).alias("largest_role"),
+        )
         .withColumn("p95_chunks", F.rint("p95_chunks").cast("long"))
         .withColumn("finding", F.when(F.col("empty_rate") >= 0.40, "severe").when(F.col("empty_rate") >= 0.10, "notable").otherwise("none"))
         .withColumn(

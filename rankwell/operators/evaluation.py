@@ -79,7 +79,7 @@ def sample_candidates(candidates: DataFrame, pct: float, seed: int = 42) -> Data
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.col("candidate_id").cast("string")))
     placed = row_numbers(candidates.select("role", "candidate_id", key.alias("_h")), ["role"], [F.col("_h"), F.col("candidate_id")], "_pos")
     sizes = candidates.groupBy("role").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) * pct)).alias("_take"))
-    return placed.join(sizes, "role").filter(F.col("_pos") <= F.col("_take")).select("role", "candidate_id")
+    return placed.join(small_side(sizes), "role").filter(F.col("_pos") <= F.col("_take")).select("role", "candidate_id")
 
 
 def first_by_source(records: DataFrame) -> DataFrame:

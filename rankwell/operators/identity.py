@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankwell.operators.ranking import row_numbers
+from rankwell.runtime import small_side
 
 ROLE = r"^[A-Za-z][A-Za-z0-9]*$"
 CANDIDATE_ID = r"^([A-Za-z][A-Za-z0-9]*)_CAND_(\d{4,})$"
@@ -27,7 +28,7 @@ def allocate_ids(registry: DataFrame, paths: DataFrame, as_of: str) -> DataFrame
         registry.select("source_path"), "source_path", "left_anti"
     )
     highest = registry.groupBy("role").agg(F.max(counter_of(F.col("candidate_id"))).alias("_base"))
-    numbered = row_numbers(fresh, ["role"], [F.col("source_path")], "_n").join(highest, "role", "left")
+    numbered = row_numbers(fresh, ["role"], [F.col("source_path")], "_n").join(small_side(highest), "role", "left")
     number = F.coalesce("_base", F.lit(0)) + F.col("_n")
     return kept.unionByName(
         numbered.select(

@@ -72,7 +72,7 @@ def alias_matches(names: DataFrame, aliases: DataFrame) -> DataFrame:
     """
     usable = aliases.filter(F.col("alias") != "_default_").withColumn("_t", M.first_token(F.col("alias")))
     found = names.select("name").distinct().withColumn("_t", F.explode(M.tokens(F.col("name"))))
-    return found.join(usable, "_t").filter(M.whole_word(F.lower(F.trim("name")), F.lower("alias"))).drop("_t")
+    return found.join(small_side(usable), "_t").filter(M.whole_word(F.lower(F.trim("name")), F.lower("alias"))).drop("_t")
 
 
 def tier_lookup(names: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -112,8 +112,8 @@ def degree_match(degrees: DataFrame, reqs: DataFrame) -> DataFrame:
     generic = has_any(F.lower("req_name"), M.GENERIC_DEGREE)
     verdicts = texts.select("role", "degree", "req_name", direct.alias("_direct"), generic.alias("_generic"))
     return (
-        degrees.join(verdicts, ["role", "degree"])
-        .join(reqs.select("role", "req_id", "req_name"), ["role", "req_name"])
+        degrees.join(small_side(verdicts), ["role", "degree"])
+        .join(small_side(reqs.select("role", "req_id", "req_name")), ["role", "req_name"])
         .groupBy("role", "candidate_id", "req_id")
         .agg(
             (F.max("_direct") | F.max("_generic")).alias("matched"),
@@ -132,8 +132,8 @@ def certificate_match(certs: DataFrame, reqs: DataFrame) -> DataFrame:
     texts = certs.select("role", "cert").distinct().join(reqs.select("role", "req_name").distinct(), "role")
     hits = texts.filter(M.phrase_match(F.col("req_name"), F.col("cert")))
     return (
-        certs.join(hits, ["role", "cert"])
-        .join(reqs.select("role", "req_id", "req_name"), ["role", "req_name"])
+        certs.join(small_side(hits), ["role", "cert"])
+        .join(small_side(reqs.select("role", "req_id", "req_name")), ["role", "req_name"])
         .select("role", "candidate_id", "req_id")
         .distinct()
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankwell.operators.ranking import row_numbers
+from rankwell.runtime import small_side
 
 # What a requirement may be, and what it falls back to.
 CATEGORIES = ["Core Skill", "Preferred Skill", "Experience", "Education", "Certification"]
@@ -44,7 +45,7 @@ def default_weights(reqs: DataFrame, overrides: DataFrame) -> DataFrame:
     """Every requirement of a role weighs 100/n unless overridden; the sum is then not corrected."""
     n = reqs.groupBy("role").agg(F.count(F.lit(1)).alias("_n"))
     return (
-        reqs.join(n, "role")
+        reqs.join(small_side(n), "role")
         .join(overrides.select("role", "req_id", F.col("weight_pct").alias("_o")), ["role", "req_id"], "left")
         .withColumn("weight_pct", F.coalesce("_o", 100.0 / F.col("_n")))
         .drop("_o", "_n")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankwell.runtime import durable
+from rankwell.runtime import durable, small_side
 
 
 def row_numbers(df: DataFrame, group: Sequence[str], order: Sequence[Column], out: str = "rank") -> DataFrame:
@@ -104,14 +104,14 @@ def pool_comparison(ranked: DataFrame, req_scores: DataFrame) -> dict[str, DataF
         F.count(F.lit(1)).alias("pool_size"),
     )
     stats = stats.join(exact_percentiles(ranked, ["role"], "total", {"pool_median": 0.5}), "role")
-    pool = ranked.join(stats, "role")
+    pool = ranked.join(small_side(stats), "role")
 
     placed = req_scores.join(ranked.select("role", "candidate_id", "rank"), ["role", "candidate_id"])
     per_req = placed.groupBy("role", "req_id").agg(
         F.coalesce(F.avg(F.when(F.col("rank") <= 10, F.col("contribution"))), F.lit(0.0)).alias("top10_mean"),
         F.coalesce(F.avg(F.when(F.col("rank") > 10, F.col("contribution"))), F.lit(0.0)).alias("rest_mean"),
     )
-    requirements = placed.join(per_req, ["role", "req_id"])
+    requirements = placed.join(small_side(per_req), ["role", "req_id"])
 
     sizes = ranked.groupBy("role").agg(F.count(F.lit(1)).alias("_n"))
     cutoffs = (

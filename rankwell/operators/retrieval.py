@@ -100,10 +100,9 @@ def best_cosine_scores(scored: DataFrame, weights: DataFrame) -> DataFrame:
     )
     divisor = weights.groupBy("role").agg(F.sum("weight").alias("_all"))
     return (
-        per_req.join(weights, ["role", "req_id"])
+        per_req.join(small_side(weights.join(divisor, "role")), ["role", "req_id"])
         .groupBy("role", "candidate_id")
-        .agg(F.sum(F.col("req_score") * F.col("weight")).alias("_s"))
-        .join(divisor, "role")
+        .agg(F.sum(F.col("req_score") * F.col("weight")).alias("_s"), F.max("_all").alias("_all"))
         .select(
             "role", "candidate_id",
             F.when(F.col("_all") > 0, F.col("_s") / F.col("_all") * 100).otherwise(F.lit(0.0)).alias("total"),

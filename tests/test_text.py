@@ -77,7 +77,7 @@ def test_recursive_split(spark):
     pieces = split(body)
     assert all(len(p) <= 500 + 250 + 1 for p in pieces)
     assert all(f"paragraph {i} " in " ".join(pieces) for i in range(12))
-    plain = [p for p in body.split("\n\n")]
+    plain = [p.strip() for p in body.split("\n\n")]
     assert pieces[0] == "\n\n".join(plain[:2]) and pieces[1].startswith(pieces[0][-250:].strip())
     for size, overlap in ((400, 200), (1200, 600), (1000, 400), (1000, 700)):
         with pytest.raises(ValueError):
