@@ -89,13 +89,10 @@ def exact_percentiles(df: DataFrame, group: Sequence[str], value: str, points: d
     )
 
 
-def pool_comparison(ranked: DataFrame, req_scores: DataFrame) -> dict[str, DataFrame]:
-    """Where each candidate stands in its role's pool.
+def pool_comparison(ranked: DataFrame) -> DataFrame:
+    """Each candidate's rank and total against its role's max, mean, median and min.
 
-    ``ranked``: role, candidate_id, total, rank; ``req_scores``: role, candidate_id, req_id, contribution.
-    Returns three tables: ``pool`` (candidate against pool max/mean/median/min), ``requirements``
-    (own contribution against the mean of the top ten and of the rest) and ``cutoffs`` (per requirement
-    sum over the first 10/20/50 divided by the pool size, so a missing row counts as zero).
+    ``ranked``: role, candidate_id, total, rank.
     """
     stats = ranked.groupBy("role").agg(
         F.max("total").alias("pool_max"),
@@ -104,18 +101,30 @@ def pool_comparison(ranked: DataFrame, req_scores: DataFrame) -> dict[str, DataF
         F.count(F.lit(1)).alias("pool_size"),
     )
     stats = stats.join(exact_percentiles(ranked, ["role"], "total", {"pool_median": 0.5}), "role")
-    pool = ranked.join(small_side(stats), "role")
+    return ranked.join(small_side(stats), "role")
 
-    placed = req_scores.join(ranked.select("role", "candidate_id", "rank"), ["role", "candidate_id"])
-    per_req = placed.groupBy("role", "req_id").agg(
+
+def _placed(ranked: DataFrame, req_scores: DataFrame) -> DataFrame:
+    return req_scores.join(ranked.select("role", "candidate_id", "rank"), ["role", "candidate_id"])
+
+
+def pool_requirements(ranked: DataFrame, req_scores: DataFrame) -> DataFrame:
+    """Own contribution per requirement against the mean of the role's top ten and of the rest.
+
+    ``req_scores``: role, candidate_id, req_id, contribution.
+    """
+    per_req = _placed(ranked, req_scores).groupBy("role", "req_id").agg(
         F.coalesce(F.avg(F.when(F.col("rank") <= 10, F.col("contribution"))), F.lit(0.0)).alias("top10_mean"),
         F.coalesce(F.avg(F.when(F.col("rank") > 10, F.col("contribution"))), F.lit(0.0)).alias("rest_mean"),
     )
-    requirements = placed.join(small_side(per_req), ["role", "req_id"])
+    return req_scores.join(small_side(per_req), ["role", "req_id"])
+
 
+def pool_cutoffs(ranked: DataFrame, req_scores: DataFrame) -> DataFrame:
+    """Per requirement the sum over the first 10, 20 and 50 by the number of candidates, not of rows."""
     sizes = ranked.groupBy("role").agg(F.count(F.lit(1)).alias("_n"))
-    cutoffs = (
-        placed.filter(F.col("rank") <= 50)
+    return (
+        _placed(ranked.filter(F.col("rank") <= 50), req_scores)
         .withColumn("cutoff", F.explode(F.array(F.lit(10), F.lit(20), F.lit(50))))
         .filter(F.col("rank") <= F.col("cutoff"))
         .groupBy("role", "req_id", "cutoff")
@@ -126,4 +135,3 @@ def pool_comparison(ranked: DataFrame, req_scores: DataFrame) -> dict[str, DataF
             (F.col("_sum") / F.least(F.col("cutoff"), F.col("_n"))).alias("mean_contribution"),
         )
     )
-    return {"pool": pool, "requirements": requirements, "cutoffs": cutoffs}

@@ -266,10 +266,6 @@ def _(t: Tables):
     return K.role_summary(totals(t).join(n, ["role", "candidate_id"], "left").fillna(0, ["n_evidence"]))
 
 
-def _pool(t: Tables, part: str):
-    return K.pool_comparison(K.rank_candidates(totals(t)), req_scores(t))[part]
-
-
 @query(
     "pool_comparison",
     """SELECT r.*, pool_max, round(pool_mean, 6) AS pool_mean, pool_min, pool_size, round(pool_median, 6) AS pool_median
@@ -277,7 +273,7 @@ def _pool(t: Tables, part: str):
              count(*) AS pool_size, median(total) AS pool_median FROM {ranked_o} GROUP BY role) p ON r.role = p.role""",
 )
 def _(t: Tables):
-    return _pool(t, "pool").withColumn("pool_mean", F.round("pool_mean", 6)).withColumn("pool_median", F.round("pool_median", 6))
+    return K.pool_comparison(K.rank_candidates(totals(t))).withColumn("pool_mean", F.round("pool_mean", 6)).withColumn("pool_median", F.round("pool_median", 6))
 
 
 @query(
@@ -290,7 +286,7 @@ def _(t: Tables):
          GROUP BY s.role, s.req_id) p ON s.role = p.role AND s.req_id = p.req_id""",
 )
 def _(t: Tables):
-    return _pool(t, "requirements").select(
+    return K.pool_requirements(K.rank_candidates(totals(t)), req_scores(t)).select(
         "role", "candidate_id", "req_id", "contribution",
         F.round("top10_mean", 6).alias("top10_mean"), F.round("rest_mean", 6).alias("rest_mean"),
     )
@@ -305,7 +301,7 @@ def _(t: Tables):
        GROUP BY s.role, s.req_id, cutoff""",
 )
 def _(t: Tables):
-    return _pool(t, "cutoffs").withColumn("mean_contribution", F.round("mean_contribution", 6))
+    return K.pool_cutoffs(K.rank_candidates(totals(t)), req_scores(t)).withColumn("mean_contribution", F.round("mean_contribution", 6))
 
 
 # A line item as a graded item of a legacy configuration.
