@@ -40,8 +40,8 @@ view(
 )
 view(
     "pair_all", spark="SELECT 1",
-    oracle="""SELECT m.*, k.kendall_tau, top_10_inter / (20.0 - top_10_inter) AS top_10_jaccard,
-         (10 - top_10_inter) / 10.0 AS newcomer_rate_top_10, (10 - top_10_inter) / 10.0 AS drop_rate_top_10,
+    oracle="""SELECT m.*, k.kendall_tau, top_10_inter / (2.0 * least(10, n) - top_10_inter) AS top_10_jaccard,
+         1 - top_10_inter / CAST(least(10, n) AS DOUBLE) AS newcomer_rate_top_10, 1 - top_10_inter / CAST(least(10, n) AS DOUBLE) AS drop_rate_top_10,
          top_50_inter / (2.0 * least(50, n) - top_50_inter) AS top_50_jaccard
        FROM (SELECT study, role, trial_a, trial_b, count(*) AS n, CAST(max(abs(ra - rb)) AS DOUBLE) AS max_rank_shift,
                     avg(abs(ra - rb)) AS mean_abs_rank_shift, corr(ra, rb) AS spearman_rho,
@@ -90,10 +90,10 @@ def _(t: Tables):
 
 @query(
     "newcomer_drop",
-    f"SELECT {_P}, newcomer_rate_top_10 AS newcomer_rate, drop_rate_top_10 AS drop_rate FROM {{pair_all}}",
+    f"SELECT {_P}, round(newcomer_rate_top_10, 6) AS newcomer_rate, round(drop_rate_top_10, 6) AS drop_rate FROM {{pair_all}}",
 )
 def _(t: Tables):
-    return S.newcomer_drop(rankings(t), 10)
+    return _r6(S.newcomer_drop(rankings(t), 10), "newcomer_rate", "drop_rate")
 
 
 _AXES = """SELECT study, role, hp,
