@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankwell.llm import decontamination, mixing, near_dedup, quality_rules, secret_scan
+from rankwell.llm import decontamination, license_scan, mixing, near_dedup, quality_rules, secret_scan, url_filters, warc
 from rankwell.runtime import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,56 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# The rules of the query.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+@query
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filters.judge(pages, rules, url_filters.declared_links(pages))
+
+
+ORACLES["op4_url_filters"] = r"""
+WITH split AS (
+  SELECT page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+rules(h, p, way) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+ruled AS (
+  SELECT s.*,
+    (SELECT h || p FROM rules WHERE (s.host = h OR s.host LIKE '%.' || h) AND starts_with(s.path, p) ORDER BY length(h || p) DESC LIMIT 1) AS rule,
+    (SELECT way FROM rules WHERE (s.host = h OR s.host LIKE '%.' || h) AND starts_with(s.path, p) ORDER BY length(h || p) DESC LIMIT 1) AS own,
+    regexp_replace(s.host, '^(www|m)\.([^.]+\.)', '\2') || regexp_replace(s.path, '(/|\.html?)$', '') || '?' || coalesce((
+      SELECT string_agg(q, '&' ORDER BY q) FROM (SELECT unnest(string_split(regexp_extract(s.url, '(?s)^[^?#]*\?([^#]*)', 1), '&')) AS q)
+      WHERE q <> '' AND NOT regexp_matches(q, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)')), '') AS form
+  FROM split s),
+passed AS (SELECT form, min(own) AS passed_on FROM ruled WHERE host <> '' GROUP BY form)
+SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN own WHEN host = '' THEN 'allow' ELSE coalesce(passed_on, 'allow') END AS verdict
+FROM ruled LEFT JOIN passed USING (form)
+"""
+
+
+@query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    return warc.read_pages(spark, path)
+
+
+ORACLES["op9_warc"] = """
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+t AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM top AND top IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM t
+"""
