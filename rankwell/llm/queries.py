@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankwell.llm import decontamination, license_scan, mixing, near_dedup, quality_rules, secret_scan, url_filters, warc
+from rankwell.llm import decontamination, license_scan, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, toxicity, url_filters, warc
 from rankwell.runtime import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,24 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM top THEN top END AS refers_to
 FROM t
 """
+
+
+def _fold(k: int) -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % k, F.lit(-1))
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(_fold(3) != 1))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (_fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    vectors = quality_classifier.word_vectors(docs)
+    network = quality_classifier.train(docs, labels.where(_fold(5) != 0), vectors)
+    scored = quality_classifier.score(docs, vectors, network)
+    return scored.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
