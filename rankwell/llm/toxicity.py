@@ -198,7 +198,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.05, steps: int = 30
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", target: str = "toxic", sample: int = 24_000) -> Model:
     """Stems and weights from at most ``sample`` rows of ``labels``, those with the smallest hash of their id.
 
-    One half of them teaches stems, the other half the weights, so that stems found by chance get no undue trust.
+    The weights come from one half, with stems learned from the other half, so that stems found by chance get no undue
+    trust; the model's stems then come from both.
     Repeated labels of an id count once; rows without id, label or text aren't used. Without any row, the built-in
     lexicon and the weights' prior remain.
     """
@@ -206,8 +207,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).where("text IS NOT NULL").join(F.broadcast(chosen), "_id")
     rows = rows.select(F.xxhash64("_id", F.lit(1)).alias("_n"), F.col("y").cast("int").alias("y"), "text")
-    stems = tuple(dict.fromkeys([*INSULTS, *learn_stems(rows.where("_n % 2 = 0"))]))
-    scored = rows.where("_n % 2 <> 0").mapInArrow(_measure(stems), "y int, x array<double>").toPandas()
+    half = tuple(dict.fromkeys([*INSULTS, *learn_stems(rows.where("_n % 2 = 0"))]))
+    stems = tuple(dict.fromkeys([*INSULTS, *learn_stems(rows)]))
+    scored = rows.where("_n % 2 <> 0").mapInArrow(_measure(half), "y int, x array<double>").toPandas()
     if not len(scored):
         return Model(stems, *fit_logistic(np.empty((0, N_FEATURES)), np.empty(0)))
     x, y = np.array(scored["x"].tolist()), scored["y"].to_numpy(float)
