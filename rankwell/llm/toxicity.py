@@ -129,7 +129,7 @@ def window_score(words: list[tuple[str, int, int]], i: int, text: str) -> float:
         score -= 0.6
     if REPORTING.intersection(around):
         score -= 0.3
-    if ADDRESSING.intersection(around[-3:]) or ADDRESSING.intersection(w[0] for w in words[i + 1 : i + 4]):
+    if ADDRESSING.intersection(around[-4:]) or ADDRESSING.intersection(w[0] for w in words[i + 1 : i + 5]):
         score += 0.25
     return max(score, 0.1)
 
