@@ -248,11 +248,11 @@ def evidence_checks(evidence_map: DataFrame, chunks: DataFrame) -> DataFrame:
     """Findings of the evidence audit, one row each with its ``penalty``; sound references have none.
 
     ``evidence_map``: candidate_id, field, chunk_id; ``chunks``: candidate_id, chunk_id, section, text. Mapped
-    ids must exist and hold text (1 each); an unmapped chunk in a key section, or of more than 30 characters
+    ids must exist and hold text (1 each), repeated ids counting once; an unmapped chunk in a key section, or of more than 30 characters
     with a key word, costs 0.5.
     """
     keys = ["candidate_id", "chunk_id"]
-    known = chunks.select(*keys, (strip(F.coalesce("text", F.lit(""))) != "").alias("_text"))
+    known = chunks.groupBy(*keys).agg(F.bool_or(strip(F.coalesce("text", F.lit(""))) != "").alias("_text"))
     forward = evidence_map.join(known, keys, "left").select(
         *keys, "field",
         F.when(F.col("_text").isNull(), "evidence_missing_chunk_id").when(~F.col("_text"), "evidence_empty_chunk_text").alias("check_id"),

@@ -156,8 +156,8 @@ def chunk_report(chunks: DataFrame) -> DataFrame:
     total, weight = F.sum(F.col("n") * F.col("c")), F.coalesce("c", F.lit(0))
     return (
         both.agg(
-            total.alias("total_chunks"),
-            F.sum("c").alias("total_candidates"),
+            F.coalesce(total, F.lit(0)).alias("total_chunks"),
+            F.coalesce(F.sum("c"), F.lit(0)).alias("total_candidates"),
             F.round(total / F.sum("c"), 2).alias("mean_chunks"),
             F.min("n").alias("min_chunks"),
             F.max("n").alias("max_chunks"),
@@ -170,7 +170,8 @@ def chunk_report(chunks: DataFrame) -> DataFrame:
         .withColumn("finding", F.when(F.col("empty_rate") >= 0.40, "severe").when(F.col("empty_rate") >= 0.10, "notable").otherwise("none"))
         .withColumn(
             "advice",
-            F.when(F.col("empty_rate") >= 0.40, "retire chunker")
+            F.when(F.col("total_chunks") == 0, "corpus is empty")
+            .when(F.col("empty_rate") >= 0.40, "retire chunker")
             .when(F.col("max_chunks") > 50, "raise chunk size")
             .otherwise("healthy"),
         )

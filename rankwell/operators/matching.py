@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankwell.functions import matching as M
@@ -185,22 +185,20 @@ def section_evidence(chunks: DataFrame, reqs: DataFrame, max_chars: int = MAX_FU
     )
 
 
-def evidence_text(evidence: DataFrame, max_chars: int = 1 << 26) -> DataFrame:
-    """Evidence of a candidate and requirement as one text, in chunk order.
+def evidence_text(evidence: DataFrame, part_chars: int = 1 << 20) -> DataFrame:
+    """Evidence of a candidate and requirement as text, in chunk order, in numbered parts.
 
-    A text beyond ``max_chars`` stays null here, and its chunks are read from the evidence rows instead.
+    Columns: role, candidate_id, req_id, part_no, n_chunks, text. A chunk goes to the part in which it starts, so a part
+    holds little more than ``part_chars`` and the parts put together are the whole text, separators included.
     """
     keys = ["role", "candidate_id", "req_id"]
-    sizes = evidence.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("text") + len(SEPARATOR)).alias("_chars")
-    )
-    joined = (
-        evidence.join(sizes.filter(F.col("_chars") <= max_chars).select(*keys), keys, "left_semi")
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "chunk_id", "text"))).alias("_x"))
-        .select(*keys, F.array_join(F.transform("_x", lambda x: x["text"]), SEPARATOR).alias("full_text"))
-    )
-    return sizes.drop("_chars").join(joined, keys, "left")
+    order = Window.partitionBy(*keys).orderBy("pos", "chunk_id")
+    before = F.coalesce(F.sum(F.length("text") + len(SEPARATOR)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    piece = F.when(before > 0, F.concat(F.lit(SEPARATOR), F.col("text"))).otherwise(F.col("text"))
+    parts = evidence.select(*keys, "pos", "chunk_id", piece.alias("_t"), F.floor(before / part_chars).cast("int").alias("_at"))
+    joined = parts.groupBy(*keys, "_at").agg(F.count(F.lit(1)).alias("n_chunks"), F.array_sort(F.collect_list(F.struct("pos", "chunk_id", "_t"))).alias("_x"))
+    numbered = F.row_number().over(Window.partitionBy(*keys).orderBy("_at")) - 1
+    return joined.select(*keys, numbered.alias("part_no"), "n_chunks", F.array_join(F.transform("_x", lambda x: x["_t"]), "").alias("text"))
 
 
 def keyword_topk(questions: DataFrame, chunks: DataFrame, n: int = 5) -> DataFrame:
@@ -316,7 +314,7 @@ def code_only_req_score(
     ``candidates``: role, candidate_id, raw_text, grade; ``sub_queries``: role, req_id, req_name, weight_pct,
     sq_key, sq_text, kind; ``degrees``/``certs``: as for the matches; ``institutes``/``providers``: alias tables.
     Per sub-query: any degree, certificate or location match; the grade against the number in the question
-    (7 without one); the tier of the first institution or certificate. Contribution = weight x mean.
+    (7 without one); the tier of the first institution, or of the first certificate's provider or else its name. Contribution = weight x mean.
     """
     keys = ["role", "candidate_id", "req_id"]
     reqs = sub_queries.select("role", "req_id", "req_name").distinct()
@@ -334,6 +332,8 @@ def code_only_req_score(
         )
         return tier_lookup(first, aliases).select("role", "candidate_id", F.col("points").alias(out))
 
+    # a certificate without a provider goes by its own name
+    named = certs.withColumn("provider", F.coalesce(F.nullif(F.trim("provider"), F.lit("")), "cert"))
     target = F.coalesce(
         F.nullif(F.regexp_extract("sq_text", r"(\d+(?:\.\d+)?)", 1), F.lit("")).try_cast("double"), F.lit(7.0)
     )
@@ -347,7 +347,7 @@ def code_only_req_score(
     return (
         candidates.select("role", "candidate_id", "grade")
         .join(first_points(degrees, "institution", institutes, "_inst"), ["role", "candidate_id"], "left")
-        .join(first_points(certs, "provider", providers, "_cert"), ["role", "candidate_id"], "left")
+        .join(first_points(named, "provider", providers, "_cert"), ["role", "candidate_id"], "left")
         .join(small_side(sub_queries), "role")
         .join(matched, keys, "left")
         .withColumn("sub_score", score)

@@ -116,11 +116,19 @@ def cosine_baseline_rank(chunks: DataFrame, queries: DataFrame, weights: DataFra
     return rank_candidates(totals.withColumn("total", F.round("total", 6)))
 
 
-def retrieval_metrics(thresholded: DataFrame) -> DataFrame:
-    """Chunks returned per candidate and sub-query: mean, 95th percentile, share of cap hits, per role."""
-    per_query = thresholded.groupBy("role", "candidate_id", "req_id", "sq_pos").agg(
+def retrieval_metrics(thresholded: DataFrame, candidates: DataFrame, queries: DataFrame) -> DataFrame:
+    """Chunks returned per candidate and sub-query: mean, 95th percentile, share of cap hits, per role.
+
+    ``candidates``: role, candidate_id; ``queries``: role, req_id, sq_pos. Each candidate is asked every query of its
+    role, and one that returns nothing counts as 0 chunks without a cap hit.
+    """
+    returned = thresholded.groupBy("role", "candidate_id", "req_id", "sq_pos").agg(
         F.count(F.lit(1)).alias("n_chunks"), F.max("cap_hit").alias("cap_hit")
     )
+    asked = candidates.select("role", "candidate_id").distinct().join(small_side(queries.select("role", "req_id", "sq_pos").distinct()), "role")
+    per_query = asked.join(returned, ["role", "candidate_id", "req_id", "sq_pos"], "left").select(
+        "role", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.coalesce("cap_hit", F.lit(False)).alias("cap_hit")
+    )
     return per_query.groupBy("role").agg(
         F.count(F.lit(1)).alias("n_queries"),
         F.avg("n_chunks").alias("avg_chunks"),

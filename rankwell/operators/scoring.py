@@ -38,6 +38,10 @@ def composed_total(reqs: DataFrame) -> DataFrame:
     return reqs.groupBy("role", "candidate_id").agg(F.round(F.sum("contribution"), 4).alias("total"))
 
 
+# The requirement types that are scored without retrieved evidence.
+CODE_ONLY_TYPES = ("education", "certification", "location")
+
+
 def apply_block_rules(
     candidates: DataFrame, weights: DataFrame, sub_queries: DataFrame, evidence: DataFrame, sq_scores: DataFrame
 ) -> DataFrame:
@@ -45,7 +49,8 @@ def apply_block_rules(
 
     No sub-queries: blocked, zero. No evidence: blocked, zero, flagged. No scores despite evidence: the
     scorer failed and each sub-query gets the floor. ``candidates``: role, candidate_id; ``sub_queries``:
-    role, req_id, sq_key; ``evidence``: role, candidate_id, req_id (one row per chunk).
+    role, req_id, sq_key; ``evidence``: role, candidate_id, req_id (one row per chunk). Requirements of a type that is
+    scored by code alone need no evidence: where ``weights`` has a ``req_type``, the evidence rule passes them over.
     """
     n_sq = sub_queries.groupBy("role", "req_id").agg(F.count(F.lit(1)).alias("n_sq"))
     n_ev = evidence.groupBy(*REQ).agg(F.count(F.lit(1)).alias("n_evidence"))
@@ -55,9 +60,10 @@ def apply_block_rules(
         .join(n_ev, REQ, "left")
         .join(sums, REQ, "left")
     )
+    by_code = F.coalesce(F.col("req_type").isin(*CODE_ONLY_TYPES), F.lit(False)) if "req_type" in weights.columns else F.lit(False)
     reason = (
         F.when(F.col("n_sq").isNull(), "no_sub_queries")
-        .when(F.col("n_evidence").isNull(), "no_evidence")
+        .when(F.col("n_evidence").isNull() & ~by_code, "no_evidence")
         .when(F.col("_n").isNull(), "scoring_failed")
     )
     blocked = F.col("reason").isin("no_sub_queries", "no_evidence")
@@ -130,7 +136,7 @@ def _answer_score(sq: Column, answers: Column, tenure_years: Column) -> Column:
         )
 
     asks_years = (sq["target_years"] > 0) & (tenure_years > 0) & has_any(F.lower(sq["sq_text"]), YEARS_PHRASES)
-    answer = F.get(F.filter(answers, lambda a: a["key"] == sq["sq_key"]), 0)
+    answer = F.try_element_at(F.filter(answers, lambda a: a["key"] == sq["sq_key"]), F.lit(-1))
     value = F.when(asks_years, years_band(tenure_years, sq["target_years"])).otherwise(let(answer, from_answer))
     return F.struct(sq["sq_key"].alias("sq_key"), sq["kind"].alias("kind"), value.alias("sub_score"))
 
@@ -141,7 +147,7 @@ def score_judge_responses(
     """Sub-query scores from judge answers, one JSON text per candidate and requirement.
 
     ``responses``: role, candidate_id, req_id, response; ``sub_queries``: role, req_id, sq_key, sq_text, kind,
-    target_years; ``tenure``: role, candidate_id, total_months. Unknown keys drop out and missing keys, like a
+    target_years; ``tenure``: role, candidate_id, total_months. Of repeated keys the last answer counts. Unknown keys drop out and missing keys, like a
     response that does not parse, get the floor. Years questions take the computed tenure when a target is set.
     A passed binary gate lifts a floored four-band score to 0.25. A response is scored within its row against
     the short list of its requirement's sub-queries, so responses are not regrouped.

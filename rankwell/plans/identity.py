@@ -90,8 +90,8 @@ def _(t: Tables):
     return I.backfill_legacy_ids(t.legacy_paths, t.legacy_chunks)
 
 
-# First lines of documents as sub-query texts, with stray spaces; English ones are cached.
-view("cache_texts", "SELECT doc_id AS pos, lang, concat('  ', replace(substr(text, 1, 40), ' ', '   '), ' ') AS sq_text FROM {documents}")
+# Whole documents as query texts, with stray spaces; English and French ones are cached.
+view("cache_texts", "SELECT doc_id AS pos, lang, concat('  ', replace(text, ' ', '   '), ' ') AS sq_text FROM {documents}")
 view(
     "cached",
     r"""SELECT lang AS model, sha2(trim(regexp_replace(lower(sq_text), '\\s+', ' ')), 256) AS cache_key FROM {cache_texts} WHERE lang IN ('en', 'fr')""",
@@ -109,7 +109,7 @@ def _(t: Tables):
     return I.query_cache_misses(t.cache_texts.drop("lang"), t.cached, "en")
 
 
-view("cache_rows", "SELECT doc_id AS pos, lang AS model, source AS role, md5(text) AS file_hash, substr(md5(text), 1, 2) AS cache_key FROM {documents}")
+view("cache_rows", "SELECT doc_id AS pos, lang AS model, source AS role, md5(text) AS file_hash, md5(text) AS cache_key FROM {documents}")
 view("current_sources", "SELECT source AS role, md5(text) AS file_hash FROM {documents} WHERE n_chars > 800")
 
 

@@ -57,7 +57,7 @@ view(
               CASE o_orderpriority WHEN '1-URGENT' THEN concat('B.Tech ', o_orderstatus) WHEN '2-HIGH' THEN 'Executive MBA'
                    WHEN '3-MEDIUM' THEN 'Diploma' WHEN '4-NOT SPECIFIED' THEN concat('Course ', o_orderstatus) ELSE 'PhD Physics' END AS degree,
               CASE WHEN o_totalprice < 60000 THEN '' WHEN o_orderstatus = 'F' THEN concat('Widget House ', o_orderpriority) ELSE 'Old Anvil School' END AS institution
-       FROM {orders} JOIN {customer} ON o_custkey = c_custkey WHERE o_totalprice > 20000""",
+       FROM {orders} JOIN {customer} ON o_custkey = c_custkey""",
 )
 view(
     "degree_reqs",
@@ -200,7 +200,8 @@ def _(t: Tables):
 )
 def _(t: Tables):
     text = M.evidence_text(M.section_evidence(t.section_chunks, t.section_reqs))
-    return text.select("role", "candidate_id", "req_id", "n_chunks", F.md5("full_text").alias("digest"))
+    whole = text.groupBy("role", "candidate_id", "req_id").agg(F.sum("n_chunks").alias("n_chunks"), F.array_sort(F.collect_list(F.struct("part_no", "text"))).alias("_p"))
+    return whole.select("role", "candidate_id", "req_id", "n_chunks", F.md5(F.array_join("_p.text", "")).alias("digest"))
 
 
 # A user's turn asks about the document with the conversation's number.
@@ -296,7 +297,7 @@ def _(t: Tables):
     return M.extract_grades(t.grade_texts).select("doc_id", "grade")
 
 
-# Customers as candidates with degrees, certificates (their larger orders) and a grade from the account balance.
+# Customers as candidates with degrees, certificates (their orders; no provider is named for the open ones) and a grade from the account balance.
 view(
     "code_candidates",
     "SELECT c_mktsegment AS role, c_custkey AS candidate_id, concat(c_name, ' in ', n_name) AS raw_text, CASE WHEN c_acctbal > 0 THEN c_acctbal / 1000 END AS grade FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey",
@@ -304,7 +305,7 @@ view(
 view(
     "cert_rows",
     """SELECT c_mktsegment AS role, o_custkey AS candidate_id, o_orderkey AS pos, concat('Certificate ', o_orderstatus) AS cert,
-              CASE WHEN o_orderstatus = 'P' THEN 'New Plate' ELSE 'Nobody' END AS provider FROM {orders} JOIN {customer} ON o_custkey = c_custkey WHERE o_totalprice > 400000""",
+              CASE o_orderstatus WHEN 'P' THEN 'New Plate' WHEN 'O' THEN '' ELSE 'Nobody' END AS provider FROM {orders} JOIN {customer} ON o_custkey = c_custkey""",
 )
 view(
     "code_sub_queries",
@@ -337,7 +338,7 @@ view(
          UNION SELECT c.role, candidate_id, req_id FROM {code_candidates} c JOIN {code_reqs} r ON c.role = r.role
            WHERE req_name LIKE 'Location:%' AND contains(lower(raw_text), 'nation_1') OR contains(lower(raw_text), lower(req_name))),
        inst AS (SELECT role, candidate_id, CASE WHEN arg_min(institution, pos) LIKE 'Widget%' THEN 1.0 ELSE 1.0 END AS p FROM {degree_rows} WHERE institution <> '' GROUP BY ALL),
-       prov AS (SELECT role, candidate_id, CASE WHEN arg_min(provider, pos) = 'New Plate' THEN 1.0 ELSE 0.01 END AS p FROM {cert_rows} GROUP BY ALL)
+       prov AS (SELECT role, candidate_id, CASE WHEN arg_min(coalesce(nullif(provider, ''), cert), pos) = 'New Plate' THEN 1.0 ELSE 0.01 END AS p FROM {cert_rows} GROUP BY ALL)
        SELECT c.role, c.candidate_id, r.req_id, s AS sub_score_sum, 5 AS n_sq, round((20.0 + r.req_id) * s / 5, 4) AS contribution
        FROM {code_candidates} c JOIN {code_reqs} r ON c.role = r.role
        LEFT JOIN hits h ON h.role = c.role AND h.candidate_id = c.candidate_id AND h.req_id = r.req_id

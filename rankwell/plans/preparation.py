@@ -91,7 +91,7 @@ def _(t: Tables):
 
 
 view("roles", "SELECT DISTINCT o_orderpriority AS role FROM {orders} UNION SELECT DISTINCT p_type AS role FROM {part}")
-view("configs", "SELECT DISTINCT p_type AS role, p_size AS config FROM {part} WHERE p_retailprice > 950")
+view("configs", "SELECT DISTINCT p_type AS role, p_size AS config FROM {part}")
 
 
 @query(

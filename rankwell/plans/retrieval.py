@@ -130,8 +130,7 @@ def _(t: Tables):
     "retrieval_metrics",
     """SELECT role, count(*) AS n_queries, avg(least(n, 3)) AS avg_chunks,
               quantile_cont(least(n, 3), 0.95) AS p95_chunks, avg(CAST(n > 3 AS INT)) AS cap_hit_rate
-       FROM (SELECT role, candidate_id, req_id, sq_pos, count(*) AS n FROM {scored}
-             WHERE cosine >= 0.1 GROUP BY ALL) t GROUP BY role""",
+       FROM (SELECT role, candidate_id, req_id, sq_pos, count(*) FILTER (WHERE cosine >= 0.1) AS n FROM {scored} GROUP BY ALL) t GROUP BY role""",
 )
 def _(t: Tables):
-    return R.retrieval_metrics(R.threshold_chunks(scored(t), 0.10, max_chunks=3))
+    return R.retrieval_metrics(R.threshold_chunks(scored(t), 0.10, max_chunks=3), t.chunk_vectors, t.sub_queries)

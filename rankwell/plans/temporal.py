@@ -136,7 +136,7 @@ view(
     """SELECT o_custkey AS candidate_id, o_orderkey AS pos,
               CASE o_orderpriority WHEN '1-URGENT' THEN concat('B.Tech ', o_orderstatus) WHEN '2-HIGH' THEN 'Executive MBA'
                    WHEN '3-MEDIUM' THEN 'Diploma' WHEN '4-NOT SPECIFIED' THEN concat('Course ', o_orderstatus) ELSE 'PhD Physics' END AS degree
-       FROM {orders} WHERE o_totalprice > 150000""",
+       FROM {orders}""",
 )
 
 

@@ -158,7 +158,11 @@ view(
 )
 view(
     "profile_chunks_o", spark="SELECT 1",
-    oracle=r"""SELECT candidate_id, role, section, CAST(i AS INT) AS chunk_index, regexp_replace(body, '^\s+|\s+$', '', 'g') AS text FROM (
+    oracle=r"""SELECT candidate_id, role, 'summary' AS section, CAST(i AS INT) AS chunk_index, p[i + 1] AS text FROM (
+         SELECT candidate_id, role, p, unnest(range(len(p))) AS i FROM (
+           SELECT candidate_id, role, CASE WHEN length(s) > 1200 THEN [s[1:1200], s[1081:]] WHEN s <> '' THEN [s] ELSE [] END AS p
+           FROM (SELECT candidate_id, role, regexp_replace(lines[1], '^\s+|\s+$', '', 'g') AS s FROM {doc_profiles}) a) b) c
+       UNION ALL SELECT candidate_id, role, section, CAST(i AS INT) AS chunk_index, regexp_replace(body, '^\s+|\s+$', '', 'g') AS text FROM (
        SELECT candidate_id, role, section, row_number() OVER (PARTITION BY candidate_id, section ORDER BY n) - 1 AS i,
               CASE section WHEN 'experience' THEN array_to_string(list_filter([
                   CASE WHEN nullif(w[1], '') IS NULL OR nullif(w[2], '') IS NULL THEN coalesce(nullif(w[1], ''), w[2]) ELSE w[1] || ' @ ' || w[2] END,
@@ -182,8 +186,7 @@ view(
        FROM {profile_chunks_o}""",
 )
 def _(t: Tables):
-    chunks = C.chunk_by_entry(t.doc_profiles).filter(F.col("section") != "summary")
-    return chunks.select("chunk_id", "candidate_id", "role", "section", "chunk_index", "text")
+    return C.chunk_by_entry(t.doc_profiles).select("chunk_id", "candidate_id", "role", "section", "chunk_index", "text")
 
 
 @query(
@@ -194,8 +197,7 @@ def _(t: Tables):
          FROM {profile_chunks_o}) x""",
 )
 def _(t: Tables):
-    chunks = C.chunk_by_entry(t.doc_profiles).filter(F.col("section") != "summary")
-    return C.renumber_chunks(chunks).select("chunk_id", "candidate_id", "section", "chunk_index")
+    return C.renumber_chunks(C.chunk_by_entry(t.doc_profiles)).select("chunk_id", "candidate_id", "section", "chunk_index")
 
 
 # The first word of each line longer than three letters is a known skill of the document's candidate.

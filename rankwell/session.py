@@ -12,6 +12,7 @@ def build_session(app: str = "rankwell", **overrides: str) -> SparkSession:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **overrides,
     }
     builder = SparkSession.builder.appName(app)

@@ -46,8 +46,12 @@ def test_section_evidence(spark, name, category, size, skilled, want):
     reqs = spark.createDataFrame([("r", "q", name, category)], "role string, req_id string, req_name string, category string")
     got = M.section_evidence(chunks(spark, size, skilled), reqs).orderBy("pos").collect()
     assert [r.chunk_id for r in got] == want
-    text = M.evidence_text(M.section_evidence(chunks(spark, size, skilled), reqs)).first()
-    assert text.full_text == M.SEPARATOR.join(["x" * size] * len(want))
+    evidence = M.section_evidence(chunks(spark, size, skilled), reqs)
+    for part_chars in (1 << 20, size + 9, 3):
+        parts = M.evidence_text(evidence, part_chars).orderBy("part_no").collect()
+        assert [p.part_no for p in parts] == list(range(len(parts))) and sum(p.n_chunks for p in parts) == len(want)
+        assert "".join(p.text for p in parts) == M.SEPARATOR.join(["x" * size] * len(want))
+    assert len(parts) == len(want)
 
 
 def test_presence_uses_section_order_and_synonyms(spark):
