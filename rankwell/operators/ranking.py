@@ -13,28 +13,24 @@ from rankwell.runtime import durable, small_side
 def row_numbers(df: DataFrame, group: Sequence[str], order: Sequence[Column], out: str = "rank") -> DataFrame:
     """1-based position of every row within its group, without gathering a group in one task.
 
-    Rows are range-partitioned on (group, order), so even a group holding most of the table is spread
-    over many tasks. The spread rows are made durable once: the offsets below and the local positions
-    must see the same partition boundaries. A group's offset in a partition is the number of its rows
-    in earlier partitions, taken from one small count per (group, partition).
+    Rows are range-partitioned on (group, order), so even a group holding most of the table is spread over many tasks,
+    sorted there, and made durable once: positions must stay as they are. A row's place in its partition comes with its
+    id; what a group lacks to its rank there is one number per (group, partition), from one small count.
     """
     keys = list(group)
     spread = durable(
-        df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_part", F.spark_partition_id())
+        df.repartitionByRange(*[F.col(k) for k in keys], *order)
+        .sortWithinPartitions(*[F.col(k) for k in keys], *order)
+        .withColumn("_id", F.monotonically_increasing_id())
     )
+    spread = spread.withColumn("_part", F.shiftright("_id", 33)).withColumn("_place", F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id")
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
+    shifts = (
         spread.groupBy(*keys, "_part")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    )
-    local = Window.partitionBy(*keys, "_part").orderBy(*order)
-    return (
-        spread.withColumn("_local", F.row_number().over(local))
-        .join(offsets, [*keys, "_part"])
-        .withColumn(out, (F.col("_local") + F.col("_before")).cast("long"))
-        .drop("_part", "_local", "_before")
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+        .select(*keys, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
     )
+    return spread.join(small_side(shifts), [*keys, "_part"]).withColumn(out, F.col("_place") + F.col("_shift")).drop("_part", "_place", "_shift")
 
 
 def top_rows(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int | Column, out: str = "rank") -> DataFrame:

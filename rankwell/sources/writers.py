@@ -19,23 +19,30 @@ def write_chunk_table(chunks: DataFrame, base: str, version: int) -> str:
 
 
 def read_chunk_table(spark: SparkSession, base: str, version: int | None = None) -> DataFrame:
-    """A version of the chunk table, the latest by default; partition pruning leaves the other versions unread."""
-    table = spark.read.parquet(base)
+    """A version of the chunk table, by default the latest that has been written to its end; others aren't touched."""
+    base = base.rstrip("/")
     if version is None:
-        version = table.agg(F.max("version")).first()[0]
-    return table.filter(F.col("version") == version).drop("version")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(base)
+        store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        done = lambda p: store.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
+        found = [s.getPath() for s in store.listStatus(folder) if s.getPath().getName().startswith("version=")]
+        version = max((int(p.getName().removeprefix("version=")) for p in found if done(p)), default=None)
+        if version is None:
+            raise FileNotFoundError(f"no complete version in {base}")
+    return spark.read.parquet(f"{base}/version={version}")
 
 
 def export_ranked(ranked: DataFrame, req_scores: DataFrame, summary: DataFrame, base: str) -> None:
     """Per role: one summary record and one record per candidate with its requirement breakdown, as JSON.
 
-    A candidate's breakdown is as long as its role has requirements; candidates are never gathered per role.
+    A candidate's breakdown is as long as its role has requirements; candidates are never gathered per role. Only the
+    roles given are replaced; what is stored of other roles stays.
     """
     rows = req_scores.groupBy("role", "candidate_id").agg(
         F.array_sort(F.collect_list(F.struct("req_id", "sub_score_sum", "n_sq", "contribution"))).alias("reqs")
     )
-    ranked.join(rows, ["role", "candidate_id"], "left").write.partitionBy("role").mode("overwrite").json(f"{base}/rankings")
-    summary.write.partitionBy("role").mode("overwrite").json(f"{base}/summary")
+    ranked.join(rows, ["role", "candidate_id"], "left").write.partitionBy("role").mode("overwrite").option("partitionOverwriteMode", "dynamic").json(f"{base}/rankings")
+    summary.write.partitionBy("role").mode("overwrite").option("partitionOverwriteMode", "dynamic").json(f"{base}/summary")
 
 
 CORE_FLAG_KEYS = ["candidate_id", "role", "flag_type", "timestamp"]

@@ -2,7 +2,10 @@
 
 import json
 
-from rankwell.operators import audit, chunking, matching, retrieval, scoring
+from pyspark.sql import functions as F
+
+from rankwell.operators import audit, chunking, matching, ranking, retrieval, scoring
+from rankwell.sources import writers
 
 KEYS = "role string, candidate_id int, req_id string"
 
@@ -58,3 +61,28 @@ def test_repeated_chunk_ids_are_checked_once(spark):
     links = spark.createDataFrame([(1, "name", "c")], "candidate_id int, field string, chunk_id string")
     row = audit.audit_evidence(chunks.select("candidate_id").distinct(), links, chunks).first()
     assert (row.n_checks, row.score) == (1, 1.0)
+
+
+def test_row_numbers_spread_a_large_group_and_keep_ties_apart(spark):
+    rows = [("big" if i % 10 else f"g{i % 30}", i % 7, i) for i in range(5000)]
+    df = spark.createDataFrame(rows, "role string, score int, id int").repartition(6)
+    out = ranking.row_numbers(df, ["role"], [F.col("score").desc(), F.col("id")])
+    expected, seen = [], {}
+    for role, score, i in sorted(rows, key=lambda r: (r[0], -r[1], r[2])):
+        seen[role] = seen.get(role, 0) + 1
+        expected.append((role, score, i, seen[role]))
+    assert sorted(map(tuple, out.select("role", "score", "id", "rank").collect())) == sorted(expected)
+
+
+def test_saving_a_role_keeps_the_others_and_half_written_versions_are_skipped(spark, tmp_path):
+    schema = "role string, candidate_id int, req_id string, sub_score_sum double, n_sq int, contribution double"
+    for role in ("a", "b", "a"):
+        ranked = spark.createDataFrame([(role, 1, 1)], "role string, candidate_id int, rank int")
+        writers.export_ranked(ranked, spark.createDataFrame([(role, 1, "q", 1.0, 1, 5.0)], schema), ranked, str(tmp_path / "out"))
+    assert sorted(r.role for r in spark.read.json(str(tmp_path / "out/rankings")).collect()) == ["a", "b"]
+
+    chunks = spark.createDataFrame([("a", 1, [1.0])], "role string, chunk_id int, embedding array<float>")
+    for version in (1, 2, 10):
+        writers.write_chunk_table(chunks.withColumn("v", F.lit(version)), str(tmp_path / "chunks"), version)
+    (tmp_path / "chunks/version=10/_SUCCESS").unlink()
+    assert writers.read_chunk_table(spark, str(tmp_path / "chunks")).first().v == 2
