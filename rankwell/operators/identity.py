@@ -144,6 +144,8 @@ def resolve_references(questions: DataFrame, rankings: DataFrame) -> DataFrame:
         "role", "candidate_id", "rank",
         F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_d"), F.lit(1))), lambda i: F.substr("_d", F.lit(1), i))).alias("_key"),
     )
+    # Only the best rank of a key can be chosen, and it is found before any question is looked at.
+    prefixes = prefixes.groupBy("role", "_key").agg(F.min_by("candidate_id", "rank").alias("candidate_id"), F.min("rank").alias("rank"))
     spelled = asked.withColumn(
         "_key", F.explode(F.array(F.col("_n").cast("string"), F.format_string("%03d", F.col("_n"))))
     )

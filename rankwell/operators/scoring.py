@@ -85,10 +85,22 @@ def apply_block_rules(
     )
 
 
-def no_evidence_flags(blocked: DataFrame, as_of: str) -> DataFrame:
-    """Flag rows for requirements blocked for lack of evidence, stamped with the run's time."""
-    return blocked.filter(F.col("reason") == "no_evidence").select(
-        *REQ, F.lit("no_evidence").alias("flag_type"), F.lit(as_of).cast("timestamp").alias("timestamp")
+def no_evidence_flags(
+    blocked: DataFrame, requirements: DataFrame, sub_queries: DataFrame, as_of: str, theta: float | None, chunker: str = "Recursive"
+) -> DataFrame:
+    """Flag rows for requirements blocked for lack of evidence, stamped with the run's time.
+
+    ``requirements``: role, req_id, req_name; ``sub_queries``: role, req_id, sq_key. A row names the requirement, the
+    sub-queries that found nothing and their number, the retrieval threshold and the chunker.
+    """
+    keys = sub_queries.groupBy("role", "req_id").agg(F.array_sort(F.collect_set("sq_key")).alias("sub_query_keys"))
+    named = requirements.select("role", "req_id", F.col("req_name").alias("requirement_name")).join(keys, ["role", "req_id"], "left")
+    flags = blocked.filter(F.col("reason") == "no_evidence").select(*REQ).join(small_side(named), ["role", "req_id"], "left")
+    asked = F.coalesce("sub_query_keys", F.array().cast("array<string>"))
+    return flags.select(
+        *REQ, F.lit("no_evidence").alias("flag_type"), F.lit(as_of).cast("timestamp").alias("timestamp"), "requirement_name",
+        asked.alias("sub_query_keys"), F.size(asked).alias("sub_query_count"),
+        F.round(F.lit(theta).cast("double"), 4).alias("theta"), F.lit(chunker).alias("chunker"),
     )
 
 
@@ -206,17 +218,22 @@ def graded_items(items: DataFrame) -> DataFrame:
 
 
 def graded_total(items: DataFrame, scale: float) -> DataFrame:
-    """Category sums and, in the row with a null category, the candidate's total = sum of raw x scale."""
+    """Category sums and a row per candidate with its total = sum of raw x scale.
+
+    Only the candidate's row has a ``total``; its category is null, as is that of items without one.
+    """
     return (
         graded_items(items)
-        .rollup("candidate_id", "category")
+        .groupingSets([["candidate_id", "category"], ["candidate_id"]], "candidate_id", "category")
         .agg(
+            F.grouping("category").alias("_all"),
             F.sum("raw_score").alias("raw_score"),
             F.sum("importance").alias("max_score"),
             F.sum("score").alias("score"),
         )
         .filter(F.col("candidate_id").isNotNull())
-        .withColumn("total", F.when(F.col("category").isNull(), F.round(F.col("raw_score") * scale, 2)))
+        .withColumn("total", F.when(F.col("_all") == 1, F.round(F.col("raw_score") * scale, 2)))
+        .drop("_all")
     )
 
 

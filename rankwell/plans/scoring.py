@@ -178,8 +178,8 @@ def _(t: Tables):
 view(
     "blocked_o", spark="SELECT 1",
     oracle="""SELECT c.role, c.candidate_id, w.req_id,
-         CASE WHEN n_sq IS NULL THEN 'no_sub_queries' WHEN n_ev IS NULL THEN 'no_evidence' WHEN n IS NULL THEN 'scoring_failed' END AS reason,
-         CASE WHEN n_sq IS NULL OR n_ev IS NULL THEN 0 WHEN n IS NULL THEN round(weight_pct * 0.01, 4)
+         CASE WHEN n_sq IS NULL THEN 'no_sub_queries' WHEN n_ev IS NULL AND w.req_id <> 5 THEN 'no_evidence' WHEN n IS NULL THEN 'scoring_failed' END AS reason,
+         CASE WHEN n_sq IS NULL OR (n_ev IS NULL AND w.req_id <> 5) THEN 0 WHEN n IS NULL THEN round(weight_pct * 0.01, 4)
               ELSE round(weight_pct * s / n, 4) END AS contribution
        FROM {line_candidates} c JOIN {line_weights} w ON c.role = w.role
        LEFT JOIN (SELECT role, req_id, count(*) AS n_sq FROM {line_sub_queries} GROUP BY ALL) q ON q.role = w.role AND q.req_id = w.req_id
@@ -191,7 +191,9 @@ view(
 
 
 def blocked(t: Tables):
-    return S.apply_block_rules(t.line_candidates, t.line_weights, t.line_sub_queries, t.line_evidence, t.line_judged)
+    # the fifth requirement is one of education, which is scored without evidence
+    weights = t.line_weights.withColumn("req_type", F.when(F.col("req_id") == 5, "education").otherwise("skill"))
+    return S.apply_block_rules(t.line_candidates, weights, t.line_sub_queries, t.line_evidence, t.line_judged)
 
 
 @query(
@@ -213,6 +215,19 @@ def _(t: Tables):
     )
 
 
+@query(
+    "no_evidence_flags",
+    """SELECT b.role, candidate_id, b.req_id, 'no_evidence' AS flag_type, TIMESTAMP '2024-01-01 00:00:00' AS timestamp, 'Requirement ' || b.req_id AS requirement_name,
+              array_to_string(k, '+') AS sub_query_keys, len(k) AS sub_query_count, CAST(0.35 AS DOUBLE) AS theta, 'Recursive' AS chunker
+       FROM {blocked_o} b JOIN (SELECT role, req_id, list_sort(list(sq_key)) AS k FROM {line_sub_queries} GROUP BY ALL) q ON b.role = q.role AND b.req_id = q.req_id
+       WHERE reason = 'no_evidence'""",
+)
+def _(t: Tables):
+    reqs = t.line_weights.select("role", "req_id", F.concat(F.lit("Requirement "), F.col("req_id").cast("string")).alias("req_name"))
+    flags = S.no_evidence_flags(blocked(t), reqs, t.line_sub_queries, "2024-01-01", 0.35)
+    return flags.withColumn("sub_query_keys", F.array_join("sub_query_keys", "+"))
+
+
 view(
     "req_scores_o", spark="SELECT 1",
     oracle="""SELECT s.role, candidate_id, s.req_id, sum(sub_score) AS sub_score_sum, count(*) AS n_sq,
