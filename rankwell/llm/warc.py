@@ -86,19 +86,23 @@ def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: st
     out the address. An empty table writes no record.
     """
     text = F.coalesce(F.col(html), F.lit(""))
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), text.alias("text"), F.md5(text).alias("key"))
-    table = rows.select(F.col("key").alias("record"), F.posexplode(chunks_of(F.col("text"), chunk)).alias("number", "chunk"), F.size(chunks_of(F.col("text"), chunk)).alias("n_chunks"))
-    known = durable(digests(table))  # per distinct payload: two digests and a length
-    counted = rows.select("page_id", "key").join(known, F.col("key") == F.col("record"))
-    repeats = counted.where(f"bytes >= {LEAST_REVISIT}").groupBy("record").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").select("record", "top")
-    # Payloads that are repeated or long; all others are digested again where they stand, and no text needs to be shuffled.
-    special = known.join(repeats, "record", "left").where(F.col("top").isNotNull() | (F.col("bytes") > chunk))
-
-    full = rows.join(small_side(special), F.col("key") == F.col("record"), "left")
-    full = full.withColumn("digest", F.coalesce("digest", F.sha1(F.col("text").cast("binary")))).withColumn("bytes", F.coalesce("bytes", F.octet_length("text").cast("bigint")))
+    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), text.alias("text"))
+    # A payload of one chunk is digested where it stands; others are known by a digest of their text until theirs is made.
+    long = (F.length("text") > chunk) | F.contains("text", F.lit(END + VERSION))
+    rows = rows.withColumn("long", long)
+    rows = rows.withColumn("key", F.when(F.col("long"), F.md5("text")).otherwise(F.sha1(F.col("text").cast("binary")))).withColumn("bytes", F.octet_length("text").cast("bigint"))
+    table = rows.where("long").select(F.col("key").alias("record"), chunks_of(F.col("text"), chunk).alias("chunks"))
+    table = table.select("record", F.size("chunks").alias("n_chunks"), F.posexplode("chunks").alias("number", "chunk"))
+    known = durable(digests(table)).select("record", "digest")
+    # Payloads that are repeated or long: while these are few, no text needs to be shuffled.
+    counted = rows.groupBy("key", "bytes", "long").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n"))
+    top = F.when((F.col("n") > 1) & (F.col("bytes") >= LEAST_REVISIT), F.col("top"))
+    special = counted.select(F.col("key").alias("record"), top.alias("top"), "long").where("long OR top IS NOT NULL").drop("long").join(known, "record", "left")
+
+    full = rows.join(small_side(special), F.col("key") == F.col("record"), "left").withColumn("digest", F.coalesce("digest", "key"))
     full = full.withColumn("revisit", F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top")))
     full = full.withColumn("origin", _identifier(F.col("page_id"), F.col("digest")))
-    pieces = F.when(F.col("revisit"), F.array(F.lit(""))).otherwise(chunks_of(F.col("text"), chunk))
+    pieces = F.when(F.col("revisit"), F.array(F.lit(""))).when(~F.col("long"), F.array("text")).otherwise(chunks_of(F.col("text"), chunk))
     parts = full.withColumn("pieces", pieces).select("page_id", "url", "digest", "bytes", "top", "revisit", "origin", F.size("pieces").alias("n"), F.posexplode("pieces").alias("number", "piece"))
 
     first = F.col("number") == 0
