@@ -12,13 +12,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankwell.llm.common import WordHashes, connected_components
 from rankwell.runtime import durable, small_side
 
 BANDS, ROWS = 32, 5
+SMALL = 32 << 20  # bytes of shingle sets up to which they are broadcast
+DIRECT = 16  # classes in a bucket whose components are compared pair by pair
+PAIRS = 3  # per class of the corpus, up to which all pairs left are compared directly
+DEPTH = 4  # times that large buckets are made finer; what is left then is compared pair by pair
 BLOCK = 512  # shingles whose coordinates are computed at a time
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -115,12 +119,19 @@ def _sets(size: int):
     return run
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity, with sets made anew from the texts of the pairs' ends."""
-    ends = pairs.select(F.explode(F.array(F.struct("a", F.col("same_a").alias("same")), F.struct(F.col("b").alias("a"), F.col("same_b").alias("same")))).alias("e"))
-    wanted = small_side(ends.select("e.same").distinct())
+def _sets_of(members: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """(class, shingles) of the classes in (class, same) rows, made anew from one text of each; for a broadcast if small."""
+    wanted = small_side(members.select("same").distinct())
     found = texts.join(wanted, "same", "left_semi").dropDuplicates(["same"])
-    sets = found.select("text").mapInArrow(_sets(size), "class binary, shingles array<bigint>")
+    sets = durable(found.select("text").mapInArrow(_sets(size), "class binary, shingles array<bigint>"))
+    size_of = sets.agg(F.sum(8 * F.size("shingles") + 64)).first()[0] or 0
+    return F.broadcast(sets) if size_of <= SMALL else sets
+
+
+def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the similarity."""
+    ends = pairs.select(F.explode(F.array(F.col("same_a"), F.col("same_b"))).alias("same"))
+    sets = _sets_of(ends, texts, size)
     left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("set_b"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
@@ -129,6 +140,58 @@ def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return checked.where(F.lit(100) * F.col("shared") >= F.lit(percent) * (F.col("total") - F.col("shared"))).select("a", "b")
 
 
+def _pairs(x: DataFrame, y: DataFrame, on: str, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes in different components whose sizes allow the similarity."""
+    fits = f"x.component != y.component AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+    joined = x.alias("x").join(y.alias("y"), F.expr(f"{on} AND {fits}"))
+    return joined.selectExpr("least(x.class, y.class) AS a", "greatest(x.class, y.class) AS b")
+
+
+def _candidates(rows: DataFrame, same: DataFrame, texts: DataFrame, size: int, percent: int, most: float) -> DataFrame:
+    """Pairs of different components that may be similar, among classes in a bucket (key, class, n, degree, component).
+
+    ``same`` gives a text of each class. Where components meet in a bucket, their classes are paired directly, if that
+    makes no more than ``most`` pairs in all or the bucket is small. Else, two sets x and y share at most
+    min(|x & leader|, |y & leader|) within the leader of the bucket, the class of the highest degree (at first, that which
+    leads this one elsewhere, so that most buckets of a group have one leader). If that can suffice, they meet by their
+    sizes; if not, they must share shingles outside the leader, and meet in a bucket of one of these, of which the first
+    few in the common order, the rarest, will do (prefix filter). Finer buckets are treated likewise.
+    """
+    pairs = None
+    for depth in range(DEPTH + 1):
+        met = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("lowest"), F.max("component").alias("highest"), F.max(F.struct("degree", "class")).alias("l"))
+        rows = durable(rows.join(met.where("lowest != highest").select("key", "m", "l"), "key"))
+        last = depth == DEPTH or (rows.agg(F.sum((F.col("m") - 1) / 2)).first()[0] or 0) <= most
+        direct = rows if last else rows.where(f"m <= {DIRECT}")
+        direct = _pairs(direct, direct, "x.key = y.key AND x.class < y.class", percent)
+        pairs = direct if pairs is None else pairs.union(direct)
+        if last:
+            return pairs.distinct()
+
+        members = rows.where(f"m > {DIRECT}").withColumn("lead", F.col("l.class"))
+        if depth == 0:  # a pair may share many bands, but needs to be looked at once per leader
+            heads = members.groupBy("class").agg(F.max("l").alias("top")).select(F.col("class").alias("lead"), F.col("top.class").alias("top"))
+            members = members.join(heads, "lead").withColumn("lead", F.col("top")).withColumn("key", F.xxhash64("top"))
+        members = members.select("key", "class", "n", "degree", "component", "lead").distinct()
+        members = durable(members)
+        bounds = members.groupBy("key").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+        sets = _sets_of(members.select("class").union(members.select("lead")).distinct().join(same, "class"), texts, size)
+        seen = members.join(sets, "class").join(sets.select(F.col("class").alias("lead"), F.col("shingles").alias("lead_set")), "lead")
+        held, rest = F.size(F.array_intersect("shingles", "lead_set")).alias("c"), F.array_except("shingles", "lead_set").alias("rest")
+        seen = seen.select("key", "class", "n", "degree", "component", held, rest).join(bounds, "key")
+        seen = durable(seen.withColumn("low", F.expr(f"greatest(low, ({percent} * n + 99) DIV 100)")).withColumn("high", F.expr(f"least(high, 100 * n DIV {percent})")))
+
+        reach = seen.withColumn("high", F.expr(f"least(high, {100 + percent} * c DIV {percent} - n)")).where("low <= high").drop("rest")
+        reach = reach.select("*", F.explode(F.sequence("low", "high")).alias("other"))
+        pairs = pairs.union(_pairs(reach, seen.drop("rest", "low", "high"), f"x.key = y.key AND x.other = y.n AND {100 + percent} * y.c >= {percent} * (x.n + y.n)", percent))
+
+        need = F.expr(f"greatest(1, ({percent} * (n + low) + {99 + percent}) DIV {100 + percent} - c)").alias("need")
+        spread = seen.select("key", "class", "n", "degree", "component", need, F.size("rest").alias("size"), F.explode("rest").alias("z")).where("need <= size")
+        spread = spread.withColumn("often", F.count(F.lit(1)).over(Window.partitionBy("key", "z")))
+        spread = spread.withColumn("place", F.row_number().over(Window.partitionBy("key", "class").orderBy("often", "z"))).where("often > 1 AND place <= size - need + 1")
+        rows = durable(spread.select(F.xxhash64("key", "z").alias("key"), "class", "n", "degree", "component"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``.
 
@@ -138,9 +201,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Texts equal as word sequences form one class from the start, so a group of copies costs one signature in all later
     steps. In each bucket of a band every class is first compared with one leader, the class that shares most buckets
-    with others; only classes of different components left in one bucket are then compared with each other, so a group
-    of near copies never meets all its pairs, and no link between components is lost. Banding misses a pair at the
-    threshold with a probability below 1e-5.
+    with others; classes of different components left in one bucket are then compared where their overlap can suffice
+    (see ``_candidates``), so a group of near copies never meets all its pairs, and no link between components is lost.
+    Banding misses a pair at the threshold with a probability below 1e-5.
 
     Null and empty texts, and texts of blanks, have no words: 0 shingles, linked with nothing. Rows without an id get
     the component of their text and are kept only if no row of the component has one. Repeated rows are linked to each
@@ -161,34 +224,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shared = durable(shared.join(hubs, "class").join(classes.select("class", "same"), "class").select("key", "class", "same", "n", "degree"))
 
     leaders = shared.groupBy("key").agg(F.max(F.struct("degree", "class", "same", "n")).alias("l"))
-    close = (F.lit(100) * F.least("n", "l.n") >= F.lit(percent) * F.greatest("n", "l.n")) & (F.col("class") != F.col("l.class"))
-    first = durable(
-        shared.join(leaders, "key").where(close)
-        .select(F.col("class").alias("a"), F.col("l.class").alias("b"), F.col("same").alias("same_a"), F.col("l.same").alias("same_b"))
-        .distinct()
-    )
-    links = durable(_confirm(first, texts, shingle, percent))
-    found = connected_components(links, "a", "b")
-
-    labelled = shared.join(found.withColumnRenamed("node", "class"), "class", "left").select(
-        "key", "class", "same", "n", F.coalesce("component", "class").alias("component")
-    )
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    left = durable(labelled.join(mixed, "key", "left_semi"))
-    x, y = left.alias("x"), left.alias("y")
-    apart = (
-        (F.col("x.key") == F.col("y.key")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.component") != F.col("y.component"))
-        & (F.lit(100) * F.least("x.n", "y.n") >= F.lit(percent) * F.greatest("x.n", "y.n"))
-    )
-    rest = x.join(y, apart).select(F.col("x.class").alias("a"), F.col("y.class").alias("b"), F.col("x.same").alias("same_a"), F.col("y.same").alias("same_b")).distinct()
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = durable(rest.join(tried, ["a", "b"], "left_anti"))
-    if rest.isEmpty():
-        components = found
-    else:
-        components = connected_components(links.union(_confirm(rest, texts, shingle, percent)), "a", "b")
-
-    members = classes.select("class", "first_id").join(components.withColumnRenamed("node", "class"), "class", "left")
+    close = f"class != l.class AND 100 * least(n, l.n) >= {percent} * greatest(n, l.n)"
+    star = shared.join(leaders, "key").where(close)
+    star = star.select(F.col("class").alias("a"), F.col("l.class").alias("b"), F.col("same").alias("same_a"), F.col("l.same").alias("same_b")).distinct()
+    found = durable(connected_components(_confirm(durable(star), texts, shingle, percent), "a", "b"))
+
+    labelled = shared.join(found.withColumnRenamed("node", "class"), "class", "left").select("key", "class", "n", "degree", F.coalesce("component", "class").alias("component"))
+    same = classes.select("class", "same")
+    pairs = durable(_candidates(labelled, same, texts, shingle, percent, PAIRS * classes.count()))
+    pairs = pairs.join(same.toDF("a", "same_a"), "a").join(same.toDF("b", "same_b"), "b")
+    more = _confirm(durable(pairs), texts, shingle, percent)
+    # components are joined by the links between them
+    a, b = found.toDF("a", "of_a"), found.toDF("b", "of_b")
+    joined = more.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    joined = durable(connected_components(joined, "a", "b").toDF("component", "wider"))
+    labels = found.select(F.col("node").alias("class"), "component")
+    alone = joined.join(labels, F.col("class") == joined["component"], "left_anti").select(F.col("component").alias("class"), "component")
+    components = labels.union(alone).join(joined, "component", "left").select("class", F.coalesce("wider", "component").alias("component"))
+
+    members = classes.select("class", "first_id").join(components, "class", "left")
     members = members.select("class", "first_id", F.coalesce("component", "class").alias("component"))
     smallest = members.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = members.join(smallest, "component").select("class", "component_id")
