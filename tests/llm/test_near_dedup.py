@@ -54,9 +54,11 @@ def test_components_equal_those_of_all_pairs(documents, prose, odd):
         assert got(N.near_duplicates(documents(rows), shingle=k, percent=percent)) == truth(rows, k, percent)
 
 
-def test_large_buckets_are_resolved_without_losing_links(documents, prose, monkeypatch):
+@pytest.mark.parametrize("pairs", [0, 1, 100])
+def test_large_buckets_are_resolved_without_losing_links(documents, prose, monkeypatch, pairs):
     # chains of edits: most members aren't linked to any single leader
     monkeypatch.setattr(N, "DIRECT", 3)
+    monkeypatch.setattr(N, "PAIRS", pairs)
     base, rows = prose(90, 5), []
     for i in range(60):
         base = edited(base, 2, i)
