@@ -19,7 +19,7 @@ from rankwell.llm.common import WordHashes, connected_components
 from rankwell.runtime import durable, small_side
 
 BANDS, ROWS = 32, 5
-SMALL = 32 << 20  # bytes of shingle sets up to which they are broadcast
+SMALL = 10 << 20  # bytes of shingle sets up to which they are broadcast, as in a join of Spark's own
 DIRECT = 16  # classes in a bucket whose components are compared pair by pair
 PAIRS = 3  # per class of the corpus, up to which all pairs left are compared directly
 DEPTH = 4  # times that large buckets are made finer; what is left then is compared pair by pair
