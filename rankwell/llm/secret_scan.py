@@ -43,11 +43,17 @@ BASE_RULES = (
     Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 18),
     Rule("hex", 1, r"[0-9a-f]{16,}"),
 )
+# A key runs to its END line; without one, over what follows of base64: long runs, and short ones that fill a line.
+_LABEL = r"(?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----"
+_EOL = r"(?:\r?\n|\r(?!\n)|\\r\\n|\\n)"
+_TO_END = rf"[^-]*(?:-{{1,4}}(?!-)[^-]*)*-----END {_LABEL}"
+_HEADERS = rf"(?:{_EOL}[\x20\t>]*[A-Za-z][A-Za-z0-9-]{{1,30}}:\x20[^\r\n\\]*)*"
+_BODY = rf"(?:(?:{_EOL}|[\x20\t>])+[A-Za-z0-9+/]{{16,}}={{0,2}}|{_EOL}[\x20\t>]*[A-Za-z0-9+/]{{1,15}}={{0,2}}(?=[\x20\t]*(?:{_EOL}|\Z)))*"
 MORE_RULES = (
-    Rule("private_key", 1, r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----"),
+    Rule("private_key", 2, rf"-----BEGIN {_LABEL}(?:{_TO_END}|{_HEADERS}{_BODY})"),
     Rule("web_token", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("host_token", 1, r"(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})"),
-    Rule("url_login", 1, r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@"),
+    Rule("url_login", 2, r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]+:[^\s/:@]{3,}@"),
 )
 RULES = BASE_RULES + MORE_RULES
 
