@@ -60,3 +60,45 @@ def test_filter_and_empty_tables(documents, prose, spark):
     assert left.columns == docs.columns and sorted(str(r.doc_id) for r in left.collect()) == ["2", "3", "None"]
     assert D.overlaps(documents([]), items).count() == 0
     assert D.overlaps(docs, items.limit(0)).count() == 0
+
+
+def path(w, t, slack):
+    """The best path of ``t`` through ``w`` within ``slack`` of any alignment; no masks."""
+    best = 0
+    for shift in range(-len(t), len(w)):
+        s = {d: 0 for d in range(shift - slack, shift + slack + 1)}
+        for i, token in enumerate(t):
+            n = {d: max(v + (0 <= i + d < len(w) and w[i + d] == token), s.get(d + 1, 0) - 1) for d, v in s.items()}
+            s = {d: max(v - (d - e) for e, v in n.items() if e <= d) for d in n}
+        best = max(best, *s.values())
+    return best
+
+
+def test_no_seed_is_needed(documents, prose, spark):
+    r = random.Random(5)
+    items = [(k, " ".join(f"it{k}x{n}" for n in range(size))) for k, size in enumerate([8, 9, 10, 12, 15, 17, 20, 24, 40])]
+    docs, straight = [], set()
+    for k, item in items:
+        t = item.split()
+        need = max(8, -(-len(t) // 2))
+        for n in range(30):
+            equal = set(r.sample(range(len(t)), r.randint(need - 2, min(need + 2, len(t)))))
+            docs.append((len(docs), " ".join([*prose(20, n).split()[: n % 3], *[x if i in equal else "other" for i, x in enumerate(t)], *prose(9, n).split()[: n % 2 * 9]])))
+            straight |= {(docs[-1][0], k)} if len(equal) >= need else set()
+    for k, item in items:  # words put in and taken out
+        t = item.split()
+        for n in range(6):
+            at, copy = len(t) // 2 + n % 2, list(t)
+            if n < 2:
+                copy[at:at] = ["put", "in", "here"][: n + 1]
+            elif n < 4:
+                del copy[at : at + n - 1]
+            else:
+                copy[3 : 4 if n == 4 else 3] = [] if n == 4 else ["put"]
+                copy[at:at] = ["in"]
+            docs.append((len(docs), " ".join([*prose(12, n).split(), *copy, *prose(12, n + 1).split()])))
+    found = {(i, j) for i, j, *_ in got(D.overlaps(documents(docs), spark.createDataFrame(items, "item_id bigint, text string")))}
+    expected = {(i, j) for i, text in docs for j, item in items if path(tokens(text), t := tokens(item), D.SLACK) >= max(8, len(t) / 2)}
+    assert len(straight) > 100 and straight <= expected and len(expected) > len(straight) + 30
+    assert straight <= found
+    assert found == expected
