@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankwell.llm import decontamination, license_scan, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, toxicity, url_filters, warc
+from rankwell.llm import (
+    decontamination, license_scan, mixing, near_dedup, periodic_runs, quality_classifier, quality_rules, secret_scan, token_alignment, token_counts, toxicity,
+    url_filters, warc,
+)
 from rankwell.runtime import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +161,75 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     network = quality_classifier.train(docs, labels.where(_fold(5) != 0), vectors)
     scored = quality_classifier.score(docs, vectors, network)
     return scored.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    aligned = token_alignment.align(docs, *files).select("doc_id", "_aligned")
+    size = lambda name: F.size(f"_aligned.{name}").cast("bigint")
+    path = scratch_path(spark, "links")
+    aligned.select(
+        F.monotonically_increasing_id().alias("row"), "doc_id", size("a_ids").alias("n_a"), size("b_ids").alias("n_b"), size("a_cuts").alias("n_groups"),
+        size("links").alias("n_links"), token_alignment.groups_sha256(F.col("_aligned")).alias("groups_sha256"), F.col("_aligned.links").alias("links"),
+    ).write.parquet(path)
+    kept = spark.read.parquet(path)
+    links = kept.select("row", F.inline("links"))
+    counts = token_alignment.count_links(links.select("a_id", "b_id"), token_alignment.linkable(*files))
+    sums = links.join(counts, ["a_id", "b_id"]).groupBy("row").agg(F.sum(F.col("best").cast("bigint")).alias("n_best"), F.sum("n").alias("count_sum"))
+    none = lambda name: F.coalesce(name, F.lit(0)).alias(name)
+    return kept.drop("links").join(sums, "row", "left").select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", none("n_best"), none("count_sum"), "groups_sha256",
+    )
+
+
+TOKEN_LIMIT = 512
+
+
+@query
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("byte_bpe_50k.json"), into="n_tokens")
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
+    return counted.select("doc_id", n_bytes.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
+def repeat_words(text: str | None, h: int | None) -> str | None:
+    """The text with the words from some place on repeated with some period, if the checksum ``h`` ends in 0."""
+    words = (text or "").encode().split()
+    if h is None or h % 10 or not words:
+        return text
+    g, n = h // 10, len(words)
+    a = g % n
+    period = words[a : a + 1 + (n - a) // (3 + g % 8)]
+    return b" ".join([*words[:a], *(period * ((n - a) // len(period) + 1))[: n - a]]).decode()
+
+
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) in which one document of ten, by its id's checksum, repeats words from some place on."""
+
+    @F.pandas_udf("string")
+    def plant(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, sums in batches:
+            yield pd.Series([repeat_words(t, None if pd.isna(h) else int(h)) for t, h in zip(texts, sums)], dtype=object)
+
+    return docs.select("doc_id", plant("text", F.crc32(F.col("doc_id").cast("string"))).alias("text"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "_runs")
+    runs = F.col("_runs.runs")
+    longest = F.expr("array_min(transform(_runs.runs, r -> named_struct('a', -r.length, 'start', r.start, 'period', r.period)))")
+    listed = F.expr("array_join(transform(_runs.runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    named = found.select("doc_id", F.size(runs).cast("bigint").alias("n_runs"), longest.alias("top"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("_runs.collapsed", 256).alias("collapsed_sha256"))
+    return named.selectExpr(
+        "doc_id", "n_runs", "top.start AS start", "-top.a AS length", "top.period AS period", "(-1000 * top.a) div top.period AS exponent_milli", "runs_sha256", "collapsed_sha256",
+    )
