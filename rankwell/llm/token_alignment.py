@@ -126,7 +126,7 @@ def align_texts(texts: list[str | None], a: ByteBpe, encoder_a: Encoder, b: Piec
     """One row of FIELDS per text."""
     none = np.zeros(0, np.int64)
     parts: list[pa.StructArray] = []
-    for group in chunks([t or "" for t in texts]):
+    for group in list(chunks([t or "" for t in texts])) or [[]]:  # a batch may be empty
         own = [texts[n] for n in group]
         there = np.array([n for n, t in enumerate(own) if t], np.int64)
         ids = {"a": none, "b": none}

@@ -31,10 +31,11 @@ def plain():
         if not b"".join(of_a) == b"".join(of_b) == (" " + text).encode():
             return [], [], []
         ends_a, ends_b = (np.cumsum([len(t) for t in x]).tolist() for x in (of_a, of_b))
-        groups, last = [], 0
+        groups, at, bt = [], 0, 0
         for end in sorted(set(ends_a) & set(ends_b)):
-            groups.append(tuple([i for i, e in zip(ids, ends) if last < e <= end] for ids, ends in ((ids_a, ends_a), (ids_b, ends_b))))
-            last = end
+            next_a, next_b = ends_a.index(end, at) + 1, ends_b.index(end, bt) + 1
+            groups.append((ids_a[at:next_a], ids_b[bt:next_b]))
+            at, bt = next_a, next_b
         return ids_a, ids_b, groups
 
     return align
