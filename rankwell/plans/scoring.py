@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankwell.functions import bands as B
-from rankwell.operators import ranking as K, scoring as S
+from rankwell.operators import composed as C, ranking as K, scoring as S
 from rankwell.plans.catalog import Tables, query, view
+from rankwell.runtime import scratch_path
 
 # A line item is one sub-query score: return flag = role, order = candidate, line number = requirement.
 view(
@@ -393,3 +394,93 @@ view(
 )
 def _(t: Tables):
     return S.unified_total(t.unified_inputs, scale=1.1).withColumn("total_raw", F.round("total_raw", 4))
+
+
+# Candidates and sub-queries of the vector views, with a place and a grade each, and a sixth requirement scored by code alone.
+view(
+    "pool_candidates",
+    """SELECT DISTINCT role, candidate_id, concat('Works in ', CASE candidate_id % 3 WHEN 0 THEN 'Lyon' WHEN 1 THEN 'Berlin' ELSE 'Madrid' END) AS raw_text,
+              CAST(candidate_id % 10 AS DOUBLE) AS grade FROM {chunk_vectors}""",
+)
+view(
+    "pool_requirements",
+    """SELECT role, req_id, 'Core Skill' AS category, concat(CAST(req_id + 2 AS STRING), '+ years of practice') AS req_name, weight AS weight_pct,
+              CASE WHEN req_id = 1 THEN CAST(6 AS DOUBLE) END AS expected_years FROM {req_weights}
+       UNION ALL SELECT DISTINCT role, 5, 'Location', 'Location: Lyon', CAST(10 AS DOUBLE), CAST(NULL AS DOUBLE) FROM {req_weights}""",
+)
+# Even roles state a number of years in the question.
+view(
+    "pool_questions",
+    """SELECT role, req_id, sq_pos, concat('SQ', CAST(sq_pos AS STRING)) AS sq_key,
+              CASE WHEN sq_pos % 3 = 0 THEN 'Is it shown?' WHEN sq_pos % 3 = 2 THEN 'How deep is it?'
+                   WHEN role % 2 = 0 THEN 'How many years of practice, about 3 years?' ELSE 'How many years of practice?' END AS sq_text,
+              CASE WHEN sq_pos % 3 = 0 THEN 'binary' ELSE 'four_band' END AS kind FROM {sub_queries}
+       UNION ALL SELECT DISTINCT role, 5, 100, 'place', 'Does it fit?', 'binary' FROM {sub_queries}
+       UNION ALL SELECT DISTINCT role, 5, 101, 'mark', 'CGPA of at least 6', 'cgpa' FROM {sub_queries}""",
+)
+# Every eleventh candidate has no chunks; the judge leaves every thirteenth unanswered.
+view(
+    "pool_responses",
+    """SELECT role, candidate_id, req_id, concat('{"sub_scores": [{"key": "SQ', CAST(3 * req_id AS STRING), '", "sub_score": 0.', CAST(candidate_id % 10 AS STRING),
+              '}, {"key": "SQ', CAST(3 * req_id + 1 AS STRING), '", "extracted_years": "', CAST(candidate_id % 7 AS STRING), ' years"}, {"key": "SQ', CAST(3 * req_id + 2 AS STRING), '", "level": "',
+              CASE candidate_id % 4 WHEN 0 THEN 'Substantial' WHEN 1 THEN 'some' WHEN 2 THEN 'few' ELSE 'none' END, '"}]}') AS response
+       FROM {pool_candidates} JOIN (SELECT 0 AS req_id UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) r ON candidate_id % 13 <> 0""",
+)
+view("pool_tenure", "SELECT role, candidate_id, candidate_id % 60 AS total_months FROM {pool_candidates} WHERE candidate_id % 2 = 0")
+view(
+    "pool_targets_o", spark="SELECT 1",
+    oracle="""SELECT r.role, r.req_id, coalesce(expected_years, asked, CASE WHEN req_id <> 5 THEN CAST(req_id + 2 AS DOUBLE) END) AS target_years FROM {pool_requirements} r
+       LEFT JOIN (SELECT role, req_id, CAST(3 AS DOUBLE) AS asked FROM {pool_questions} WHERE sq_text LIKE '%about 3 years%' GROUP BY ALL) q USING (role, req_id)""",
+)
+
+
+@query("target_years", "SELECT role, req_id, target_years FROM {pool_targets_o}")
+def _(t: Tables):
+    return C.target_years(t.pool_requirements, t.pool_questions)
+
+
+view(
+    "pool_scores_o", spark="SELECT 1",
+    oracle=f"""SELECT role, candidate_id, req_id, weight_pct, reason, CASE WHEN reason IS NULL THEN round(weight_pct * s / n, 4)
+                   WHEN reason = 'scoring_failed' THEN round(weight_pct * 0.01, 4) ELSE 0 END AS contribution
+       FROM (
+         SELECT role, candidate_id, req_id, max(weight_pct) AS weight_pct, sum(CASE WHEN gated AND kind = 'four_band' AND v <= 0.01 THEN 0.25 ELSE v END) AS s, count(kind) AS n,
+                CASE WHEN count(kind) = 0 THEN 'no_sub_queries' WHEN req_id <> 5 AND candidate_id % 11 = 0 THEN 'no_evidence'
+                     WHEN req_id <> 5 AND candidate_id % 13 = 0 THEN 'scoring_failed' END AS reason
+         FROM (
+           SELECT *, bool_or(kind = 'binary' AND v >= 0.5) OVER (PARTITION BY role, candidate_id, req_id) AND req_id <> 5 AS gated FROM (
+             SELECT c.role, c.candidate_id, r.req_id, r.weight_pct, q.kind,
+                    CASE WHEN q.sq_key = 'place' THEN CASE WHEN c.candidate_id % 3 = 0 THEN 1.0 ELSE 0.0 END
+                         WHEN q.sq_key = 'mark' THEN CASE WHEN c.candidate_id % 10 >= 6 THEN 1.0 ELSE 0.5 END
+                         WHEN q.kind = 'binary' THEN CASE WHEN c.candidate_id % 10 >= 5 THEN 1.0 ELSE 0.0 END
+                         WHEN q.sq_pos % 3 = 2 THEN CASE c.candidate_id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 WHEN 2 THEN 0.25 ELSE 0.01 END
+                         ELSE {_BAND.format(y='y')} END AS v
+             FROM {{pool_candidates}} c JOIN {{pool_requirements}} r ON c.role = r.role
+             JOIN (SELECT role, req_id, target_years AS target FROM {{pool_targets_o}}) g ON g.role = r.role AND g.req_id = r.req_id
+             LEFT JOIN {{pool_questions}} q ON q.role = r.role AND q.req_id = r.req_id,
+             LATERAL (SELECT CASE WHEN c.candidate_id % 2 = 0 AND c.candidate_id % 60 > 0 THEN round((c.candidate_id % 60) / 12.0, 2) ELSE c.candidate_id % 7 END AS y) l) a) b
+         GROUP BY role, candidate_id, req_id) x""",
+)
+
+
+def composed_inputs(t: Tables) -> C.Inputs:
+    vectors = t.sub_queries.select("role", "req_id", "sq_pos", "query")
+    no_tiers = "SELECT 'tier_1' AS tier, CAST(0 AS DOUBLE) AS points, 0 AS entry_pos, '' AS alias, '' AS note WHERE false"
+    return C.Inputs(
+        candidates=t.pool_candidates, requirements=t.pool_requirements,
+        sub_queries=t.pool_questions.join(vectors, ["role", "req_id", "sq_pos"], "left"),
+        chunks=t.chunk_vectors.where("candidate_id % 11 <> 0"), responses=t.pool_responses, tenure=t.pool_tenure,
+        degrees=t.sql("SELECT role, candidate_id, 0 AS pos, '' AS degree, '' AS institution FROM {pool_candidates} WHERE false"),
+        certs=t.sql("SELECT role, candidate_id, 0 AS pos, '' AS cert, '' AS provider FROM {pool_candidates} WHERE false"),
+        institutes=t.sql(no_tiers), providers=t.sql(no_tiers),
+    )
+
+
+@query(
+    "composed_pipeline",
+    """SELECT *, row_number() OVER (PARTITION BY role ORDER BY total DESC, candidate_id) AS rank FROM (
+         SELECT role, candidate_id, round(sum(contribution), 4) AS total, count(*) FILTER (WHERE reason IN ('no_sub_queries', 'no_evidence')) AS n_blocked,
+                count(*) FILTER (WHERE reason = 'scoring_failed') AS n_failed FROM {pool_scores_o} GROUP BY role, candidate_id) x""",
+)
+def _(t: Tables):
+    return C.composed_pipeline(t.spark, composed_inputs(t), scratch_path(t.spark, "composed"), "run", parts=2)

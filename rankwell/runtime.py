@@ -62,3 +62,9 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = B
     width = F.sum(F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in kept.columns]))))
     rows, size = kept.agg(F.count(F.lit(1)), F.coalesce(width, F.lit(0))).first()
     return F.broadcast(kept) if rows <= max_rows and size <= max_bytes else kept
+
+
+def is_committed(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end: its job leaves a mark as the last thing."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
