@@ -174,13 +174,9 @@ def tokenizer(name: str) -> str:
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    aligned = token_alignment.align(docs, *files).select("doc_id", "_aligned")
-    size = lambda name: F.size(f"_aligned.{name}").cast("bigint")
+    summed = token_alignment.align(docs, *files, then=(token_alignment.SUMMARY, token_alignment.summary))
     path = scratch_path(spark, "links")
-    aligned.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", size("a_ids").alias("n_a"), size("b_ids").alias("n_b"), size("a_cuts").alias("n_groups"),
-        size("links").alias("n_links"), token_alignment.groups_sha256(F.col("_aligned")).alias("groups_sha256"), F.col("_aligned.links").alias("links"),
-    ).write.parquet(path)
+    summed.select(F.monotonically_increasing_id().alias("row"), "doc_id", "_aligned.*").write.parquet(path)
     kept = spark.read.parquet(path)
     links = kept.select("row", F.inline("links"))
     counts = token_alignment.count_links(links.select("a_id", "b_id"), token_alignment.linkable(*files))

@@ -10,19 +10,20 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rankwell.llm.bpe import ByteBpe, Encoder, chunks, split
 
 WORK = 1 << 15  # steps of the merge in a piece
+GROUP = 1_000_000  # characters of texts that are aligned together
 MAX_PAIRS = 2_000_000  # pairs of ids that can be linked at all, up to which their counts are broadcast
 FIELDS = ["a_ids", "b_ids", "a_cuts", "b_cuts", "links"]
 SCHEMA = "struct<a_ids: array<int>, b_ids: array<int>, a_cuts: array<int>, b_cuts: array<int>, links: array<struct<a_id: int, b_id: int>>>"
@@ -126,7 +127,7 @@ def align_texts(texts: list[str | None], a: ByteBpe, encoder_a: Encoder, b: Piec
     """One row of FIELDS per text."""
     none = np.zeros(0, np.int64)
     parts: list[pa.StructArray] = []
-    for group in list(chunks([t or "" for t in texts])) or [[]]:  # a batch may be empty
+    for group in list(chunks([t or "" for t in texts], GROUP)) or [[]]:  # a batch may be empty
         own = [texts[n] for n in group]
         there = np.array([n for n, t in enumerate(own) if t], np.int64)
         ids = {"a": none, "b": none}
@@ -164,7 +165,8 @@ def align_texts(texts: list[str | None], a: ByteBpe, encoder_a: Encoder, b: Piec
 _READY: dict[tuple[str, str], tuple[ByteBpe, Encoder, Pieces]] = {}  # of this worker, by the files' names
 
 
-def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text", into: str = "_aligned") -> DataFrame:
+def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text", into: str = "_aligned",
+          then: tuple[str, Callable[[pa.StructArray], pa.Array]] | None = None) -> DataFrame:
     """``docs`` with a struct column ``into``: a_ids, b_ids, a_cuts, b_cuts, links.
 
     A is a byte-level BPE file of the tokenizers library and encodes a blank and the text; B is a sentence-piece model,
@@ -173,18 +175,25 @@ def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text", into: s
     ``links`` the two ids that end there. Null and empty texts, and texts that a tokenizer rewrites, have empty lists.
     Rows are aligned one by one and whole: repeated rows get equal results, an empty table stays empty, other columns
     pass through. The files are read on the driver; what is broadcast doesn't grow with the data.
+
+    ``then``, a type and a function of alignments, replaces the struct by what the function makes of it within the same
+    task, so that token lists needn't leave it.
     """
     bpe = ByteBpe.load(a_path)
     with open(b_path, "rb") as file:
         shipped = docs.sparkSession.sparkContext.broadcast(((a_path, b_path), bpe, bpe.whole, file.read()))
+    kind, made = then or (SCHEMA, lambda rows: rows)
 
-    @F.arrow_udf(SCHEMA)
+    @F.arrow_udf(kind)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names, a, whole, model = shipped.value
         if names not in _READY:
             _READY[names] = (a, Encoder(a.encode_pieces, whole), Pieces(model))
-        for texts in batches:
-            yield align_texts(texts.to_pylist(), *_READY[names])
+        for column in batches:
+            texts = [t or "" for t in column.to_pylist()]
+            # Small groups go back one by one, so no list of a whole batch's tokens is ever held.
+            for group in list(chunks(texts, GROUP)) or [[]]:
+                yield made(align_texts([texts[n] for n in group], *_READY[names]))
 
     # Not to be copied into the expressions that use its fields.
     return docs.withColumn(into, run.asNondeterministic()(F.col(text)))
@@ -203,25 +212,25 @@ def _group_texts(a_ids: np.ndarray, a_cuts: np.ndarray, b_ids: np.ndarray, b_cut
     return "".join(map(words.__getitem__, code.tolist()))[:-1]
 
 
-def groups_sha256(aligned: Column) -> Column:
-    """The SHA-256, in hex, of each alignment's groups, written ``a1,a2|b1;a3|b2,b3``; '' without tokens."""
-
-    @F.arrow_udf("string")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words: list[str] = []
-        for rows in batches:
-            lists = [rows.field(n) for n in ("a_ids", "a_cuts", "b_ids", "b_cuts")]
-            values = [x.values.to_numpy(zero_copy_only=False).astype(np.int64) for x in lists]
-            offsets = [x.offsets.to_numpy() for x in lists]
-            top = max((int(v.max(initial=-1)) for v in (values[0], values[2])), default=-1)
-            words += [f"{i}{sign}" for i in range(len(words) // 3, top + 1) for sign in ",|;"]
-            out = []
-            for r in range(len(rows)):
-                parts = [v[o[r] : o[r + 1]] for v, o in zip(values, offsets)]
-                out.append(hashlib.sha256(_group_texts(*parts, words).encode()).hexdigest() if len(parts[0]) else "")
-            yield pa.array(out, pa.string())
-
-    return run(aligned)
+SUMMARY = "struct<n_a: bigint, n_b: bigint, n_groups: bigint, n_links: bigint, groups_sha256: string, links: array<struct<a_id: int, b_id: int>>>"
+_WORDS: list[str] = []  # each id of A or B with each of the three signs behind it
+
+
+def summary(rows: pa.StructArray) -> pa.StructArray:
+    """For ``then``: counts, links, and the SHA-256, in hex, of the groups written ``a1,a2|b1;a3|b2,b3`` ('' without tokens)."""
+    lists = [rows.field(n) for n in ("a_ids", "a_cuts", "b_ids", "b_cuts")]
+    values = [x.values.to_numpy(zero_copy_only=False).astype(np.int64) for x in lists]
+    offsets = [x.offsets.to_numpy() for x in lists]
+    top = max(int(v.max(initial=-1)) for v in (values[0], values[2]))
+    _WORDS.extend(f"{i}{sign}" for i in range(len(_WORDS) // 3, top + 1) for sign in ",|;")
+    hashes = []
+    for r in range(len(rows)):
+        parts = [v[o[r] : o[r + 1]] for v, o in zip(values, offsets)]
+        hashes.append(hashlib.sha256(_group_texts(*parts, _WORDS).encode()).hexdigest() if len(parts[0]) else "")
+    size = lambda n: pa.array(np.diff(rows.field(n).offsets.to_numpy()).astype(np.int64))
+    return pa.StructArray.from_arrays(
+        [size("a_ids"), size("b_ids"), size("a_cuts"), size("links"), pa.array(hashes, pa.string()), rows.field("links")],
+        ["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links"])
 
 
 def linkable(a_path: str, b_path: str) -> int:

@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter, defaultdict
 
 from rankwell.llm import decontamination as D
 
@@ -8,25 +9,40 @@ def tokens(text):
     return [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower()) if w]
 
 
+def equal_by_shift(words, item):
+    """Equal tokens of each alignment: words of the text by position, met with those of the item."""
+    places = defaultdict(list)
+    for at, w in enumerate(words):
+        places[w].append(at)
+    return Counter(at - k for k, token in enumerate(item) for at in places.get(token, ()))
+
+
 def brute(docs, items, least=8, percent=50):
-    """All alignments that share a seed of a mask, judged token by token."""
+    """All straight alignments, judged token by token; no masks, as no seed is needed for one that counts."""
     out = set()
     for i, text in docs:
         w = tokens(text)
         for j, item in items:
-            t, best = tokens(item), None
-            for shift in range(-len(t), len(w)):
-                seeded = any(
-                    0 <= p + shift <= len(w) - D.SPAN and any(all(w[p + shift + k] == t[p + k] for k, b in enumerate(m) if b == "1") for m in D.MASKS)
-                    for p in range(len(t) - D.SPAN + 1)
-                )
-                if seeded:
-                    equal = sum(0 <= k + shift < len(w) and w[k + shift] == t[k] for k in range(len(t)))
-                    inside = min(len(w), shift + len(t)) - max(0, shift)
-                    if equal >= least and 100 * equal >= percent * len(t):
-                        best = min(best or (0,), (-equal, shift, inside, equal))
-            if best and len(best) > 1:
-                out.add((i, j, *best[1:]))
+            t = tokens(item)
+            good = [(-n, shift) for shift, n in equal_by_shift(w, t).items() if n >= least and 100 * n >= percent * len(t)]
+            if good:
+                n, shift = min(good)
+                out.add((i, j, shift, min(len(w), shift + len(t)) - max(0, shift), -n))
+    return out
+
+
+def straying(docs, items, least=8, percent=50):
+    """(doc, item) that count by a path over neighbouring alignments; a path has no more equal tokens than all of them."""
+    out = set()
+    for i, text in docs:
+        w = tokens(text)
+        for j, item in items:
+            t = tokens(item)
+            counts = equal_by_shift(w, t)
+            need = max(least, -(-percent * len(t) // 100))
+            near = [s for s in counts if sum(counts[s + d] for d in range(-D.SLACK, D.SLACK + 1)) >= need]
+            if any(path_at(w, t, s, D.SLACK) >= need for s in near):
+                out.add((i, j))
     return out
 
 
@@ -62,16 +78,17 @@ def test_filter_and_empty_tables(documents, prose, spark):
     assert D.overlaps(docs, items.limit(0)).count() == 0
 
 
+def path_at(w, t, shift, slack):
+    """The best path of ``t`` through ``w`` within ``slack`` of an alignment; no masks."""
+    s = {d: 0 for d in range(shift - slack, shift + slack + 1)}
+    for i, token in enumerate(t):
+        n = {d: max(v + (0 <= i + d < len(w) and w[i + d] == token), s.get(d + 1, 0) - 1) for d, v in s.items()}
+        s = {d: max(v - (d - e) for e, v in n.items() if e <= d) for d in n}
+    return max(s.values())
+
+
 def path(w, t, slack):
-    """The best path of ``t`` through ``w`` within ``slack`` of any alignment; no masks."""
-    best = 0
-    for shift in range(-len(t), len(w)):
-        s = {d: 0 for d in range(shift - slack, shift + slack + 1)}
-        for i, token in enumerate(t):
-            n = {d: max(v + (0 <= i + d < len(w) and w[i + d] == token), s.get(d + 1, 0) - 1) for d, v in s.items()}
-            s = {d: max(v - (d - e) for e, v in n.items() if e <= d) for d in n}
-        best = max(best, *s.values())
-    return best
+    return max(path_at(w, t, shift, slack) for shift in range(-len(t), len(w)))
 
 
 def test_no_seed_is_needed(documents, prose, spark):

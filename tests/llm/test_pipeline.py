@@ -8,7 +8,7 @@ import pytest
 import corpus_pipeline
 from rankwell.llm import quality_rules, secret_scan
 from rankwell.llm.queries import ORACLES, QUERIES, table
-from tests.llm.test_decontamination import brute as overlapping
+from tests.llm.test_decontamination import brute as overlapping, straying
 from tests.llm.test_mixing import poured
 from tests.llm.test_near_dedup import truth
 from tests.oracle import compare, connect
@@ -35,7 +35,7 @@ def test_stages_equal_plain_python(spark):
     texts = [(i, r.text) for (i, r), ok in zip(rows.items(), good) if ok]
     texts = [(i, rows[i].text) for i, _, _, kept in truth(texts, 5, 80) if kept]
     items = [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()]
-    leaks = {i for i, *_ in overlapping(texts, items)}
+    leaks = {i for i, *_ in overlapping(texts, items)} | {i for i, _ in straying(texts, items)}
     texts = {i: masked(t) for i, t in texts if i not in leaks}
 
     stages = dict(corpus_pipeline.STAGES)
@@ -68,6 +68,8 @@ COLUMNS = {
     "op5_mixing": "doc_id size source_size target taken", "op6_minhash_dedup": "doc_id n_shingles component_id kept",
     "op7_license_scan": "doc_id n_words n_base first_word last_word base_labels labels score", "op8_secret_scan": "doc_id n_assign n_access n_hex base_sha256 spans",
     "op9_warc": "page_id payload_bytes payload_digest record_type refers_to", "op10_decontamination": "doc_id item_id",
+    "op11_token_alignment": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256", "op12_token_counts": "doc_id n_bytes n_tokens over_limit",
+    "op13_periodic_runs": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
 }
 
 

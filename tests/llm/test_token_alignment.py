@@ -68,8 +68,11 @@ def test_alignment_on_odd_rows(documents, odd, plain):
     docs = documents(rows)
     out = token_alignment.align(docs, A, B)
     assert out.columns == [*docs.columns, "_aligned"]
-    got = out.select("doc_id", "text", "_aligned", token_alignment.groups_sha256(out["_aligned"]).alias("sha")).collect()
+    got = out.collect()
     assert len(got) == len(rows)
+    summed = token_alignment.align(docs, A, B, into="s", then=(token_alignment.SUMMARY, token_alignment.summary)).collect()
+    shas = {r.text: r.s.groups_sha256 for r in summed}
+    assert len(summed) == len(rows) and all(r.s.n_links == len(r.s.links) == r.s.n_groups for r in summed)
     for r in got:
         ids_a, ids_b, groups = plain(r.text)
         x = r._aligned
@@ -77,9 +80,9 @@ def test_alignment_on_odd_rows(documents, odd, plain):
         assert x.a_cuts == np.cumsum([len(g[0]) for g in groups], dtype=int).tolist() and x.b_cuts == np.cumsum([len(g[1]) for g in groups], dtype=int).tolist()
         assert [(k.a_id, k.b_id) for k in x.links] == [(g[0][-1], g[1][-1]) for g in groups]
         written = ";".join(",".join(map(str, p)) + "|" + ",".join(map(str, q)) for p, q in groups)
-        assert r.sha == (hashlib.sha256(written.encode()).hexdigest() if groups else "")
-    empty = token_alignment.align(documents([]), A, B)
-    assert empty.select(token_alignment.groups_sha256(empty["_aligned"])).count() == 0
+        assert shas[r.text] == (hashlib.sha256(written.encode()).hexdigest() if groups else "")
+    for then in (None, (token_alignment.SUMMARY, token_alignment.summary)):
+        assert token_alignment.align(documents([]), A, B, then=then).count() == 0
 
 
 def test_linked_pairs_stay_below_the_bound(documents, plain, spark):
