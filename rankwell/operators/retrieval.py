@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankwell.functions.vectors import dot, l2_normalize
 from rankwell.operators.ranking import rank_candidates, top_rows
-from rankwell.runtime import small_side
+from rankwell.runtime import durable, small_side
 
 DEFAULT_TOP_K = 5
 DEFAULT_MAX_CHUNKS = 20
@@ -88,7 +93,7 @@ def best_cosine_scores(scored: DataFrame, weights: DataFrame) -> DataFrame:
     """Model-free total per candidate from the best cosine per sub-query.
 
     Max cosine clamped to [0,1] per sub-query, mean per requirement, weighted mean over all requirements
-    times 100. A requirement without sub-queries adds nothing but keeps its weight in the divisor.
+    times 100. A requirement that was not asked at all adds nothing but keeps its weight in the divisor.
     ``weights``: role, req_id, weight.
     """
     clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.max("cosine")))
@@ -110,9 +115,87 @@ def best_cosine_scores(scored: DataFrame, weights: DataFrame) -> DataFrame:
     )
 
 
-def cosine_baseline_rank(chunks: DataFrame, queries: DataFrame, weights: DataFrame) -> DataFrame:
-    """Rank candidates of a role by :func:`best_cosine_scores`; totals are rounded to 6 dp before ranking."""
-    totals = best_cosine_scores(cosine_scores(chunks, queries), weights)
+def with_name_queries(queries: DataFrame, names: DataFrame) -> DataFrame:
+    """``queries`` and, for each requirement without any, its name's vector as the only query, at position 0.
+
+    ``names``: role, req_id, query.
+    """
+    bare = names.join(queries.select("role", "req_id").distinct(), ["role", "req_id"], "left_anti")
+    return queries.select("role", "req_id", "sq_pos", "query").unionByName(bare.select("role", "req_id", F.lit(0).cast("long").alias("sq_pos"), "query"))
+
+
+MAX_QUERIES = 50_000  # sub-queries of all roles, up to which their vectors are sent to every task
+
+
+def _unit_rows(rows: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(rows, axis=1, keepdims=True)
+    return np.divide(rows, norms, out=rows.copy(), where=norms > 0)
+
+
+def _role_best(candidates: pa.Array, vectors: np.ndarray, block: tuple) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The candidates met, and for each of them and each query of the block the best cosine, as flat arrays."""
+    req_ids, sq_pos, units = block
+    if vectors.shape[1] != units.shape[0]:
+        raise ValueError(f"vector dimension mismatch: {vectors.shape[1]} vs {units.shape[0]}")
+    coded = candidates.dictionary_encode()
+    codes = coded.indices.to_numpy()
+    order = np.argsort(codes, kind="stable")
+    starts = np.flatnonzero(np.append(True, np.diff(codes[order]) != 0))
+    best = np.maximum.reduceat((_unit_rows(vectors) @ units)[order], starts, axis=0)
+    return coded.dictionary.take(pa.array(codes[order][starts])), np.arange(len(starts)), best
+
+
+def best_cosines(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """(role, candidate_id, req_id, sq_pos, cosine): best cosines of a candidate's chunks, in part.
+
+    The same as the maxima of :func:`cosine_scores`, but each batch of chunks is multiplied at once with the queries of
+    its role, and only the best of each candidate leaves the batch; a row per chunk and query never exists. A candidate
+    whose chunks lie in several batches has several rows per query, of which the largest counts. Beyond MAX_QUERIES the
+    queries stay in a table and are joined.
+    """
+    asked = durable(queries.select("role", "req_id", "sq_pos", F.col("query").cast("array<double>").alias("query")).where("role IS NOT NULL AND query IS NOT NULL"))
+    if asked.count() > MAX_QUERIES:
+        return cosine_scores(chunks, asked)
+    table = asked.toArrow()
+    blocks = {}
+    for role in table["role"].unique():
+        own = table.filter(pc.equal(table["role"], role)).combine_chunks()
+        rows = np.array(own["query"].to_pylist(), np.float64)
+        blocks[role.as_py()] = (own["req_id"].chunk(0), own["sq_pos"].chunk(0), np.ascontiguousarray(_unit_rows(rows).T))
+    shipped = chunks.sparkSession.sparkContext.broadcast(blocks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for role in batch.column("role").unique():
+                block = shipped.value.get(role.as_py())
+                if block is None:
+                    continue
+                own = batch.filter(pc.equal(batch.column("role"), role))
+                vectors = own.column("embedding")
+                sizes = np.diff(vectors.offsets.to_numpy())
+                if (sizes != sizes[0]).any():
+                    raise ValueError(f"vector dimension mismatch: {sizes.min()} vs {sizes.max()}")
+                flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                names, rows, best = _role_best(own.column("candidate_id"), flat.reshape(len(own), -1), block)
+                n = best.shape[1]
+                each, every = pa.array(np.repeat(rows, n)), pa.array(np.tile(np.arange(n), len(rows)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([role.as_py()] * (n * len(rows)), batch.schema.field("role").type), names.take(each), block[0].take(every), block[1].take(every), pa.array(best.ravel())],
+                    ["role", "candidate_id", "req_id", "sq_pos", "cosine"])
+
+    rows = chunks.select("role", "candidate_id", F.col("embedding").cast("array<double>").alias("embedding")).where("role IS NOT NULL AND embedding IS NOT NULL")
+    kinds = {**dict(asked.dtypes), **dict(rows.dtypes)}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("role", "candidate_id", "req_id", "sq_pos")) + ", cosine double"
+    return rows.mapInArrow(run, schema).withColumn("cosine", F.round("cosine", 9))
+
+
+def cosine_baseline_rank(chunks: DataFrame, queries: DataFrame, weights: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Rank candidates of a role by :func:`best_cosine_scores`; totals are rounded to 6 dp before ranking.
+
+    With ``names`` (role, req_id, query) a requirement without sub-queries is asked by the vector of its name.
+    """
+    asked = queries if names is None else with_name_queries(queries, names)
+    totals = best_cosine_scores(best_cosines(chunks, asked), weights)
     return rank_candidates(totals.withColumn("total", F.round("total", 6)))
 
 
@@ -169,12 +252,3 @@ def relevance_metrics(ranked: DataFrame, labels: DataFrame) -> DataFrame:
         F.coalesce(1.0 / F.col("_first"), F.lit(0.0)).alias("reciprocal_rank"),
         (F.col("_dcg") / ideal).alias("ndcg"),
     )
-
-
-def baseline_alignment_input(baseline: DataFrame, production: DataFrame) -> DataFrame:
-    """Both ranks of the candidates two rankings share: role, candidate_id, rank_a, rank_b, total_a."""
-    return baseline.select("role", "candidate_id", F.col("rank").alias("rank_a"), F.col("total").alias("total_a")).join(
-        production.select("role", "candidate_id", F.col("rank").alias("rank_b")), ["role", "candidate_id"]
-    )
-
-

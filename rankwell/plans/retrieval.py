@@ -20,7 +20,11 @@ view(
     """SELECT role, CAST(floor(label / 3) AS INT) AS req_id, label AS sq_pos, min_by(embedding, chunk_id) AS query
        FROM {chunk_vectors} GROUP BY role, label""",
 )
-# Requirement 4 is weighted but has no sub-query.
+# Requirement 4 is weighted but has no sub-query: its name is the query. A name's vector is the latest chunk of its label.
+view(
+    "req_names",
+    "SELECT role, label % 5 AS req_id, max_by(embedding, chunk_id) AS query FROM {chunk_vectors} GROUP BY role, label % 5",
+)
 view(
     "req_weights",
     """SELECT role, label % 5 AS req_id, CAST(count(*) AS DOUBLE) AS weight
@@ -100,13 +104,23 @@ def _(t: Tables):
     return R.union_dedup_topk(scored(t), t.sub_queries).withColumn("cosine", F.round("cosine", 6))
 
 
+view(
+    "scored_names",
+    spark="SELECT 1",
+    oracle="""SELECT c.role, candidate_id, n.req_id,
+       round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(query AS DOUBLE[]))
+         / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))
+         / sqrt(list_dot_product(CAST(query AS DOUBLE[]), CAST(query AS DOUBLE[]))), 9) AS cosine
+       FROM {chunk_vectors} c JOIN {req_names} n ON c.role = n.role
+       WHERE NOT EXISTS (SELECT 1 FROM {sub_queries} q WHERE q.role = n.role AND q.req_id = n.req_id)""",
+)
 view(
     "cosine_totals",
     spark="SELECT 1",
     oracle="""SELECT p.role, p.candidate_id, round(sum(p.req_score * w.weight) / max(d.total_weight) * 100, 6) AS total
        FROM (SELECT role, candidate_id, req_id, avg(best) AS req_score FROM (
                SELECT role, candidate_id, req_id, sq_pos, greatest(0.0, least(1.0, max(cosine))) AS best
-               FROM {scored} GROUP BY ALL) GROUP BY ALL) p
+               FROM (SELECT role, candidate_id, req_id, sq_pos, cosine FROM {scored} UNION ALL SELECT role, candidate_id, req_id, 0, cosine FROM {scored_names}) GROUP BY ALL) GROUP BY ALL) p
        JOIN {req_weights} w ON p.role = w.role AND p.req_id = w.req_id
        JOIN (SELECT role, sum(weight) AS total_weight FROM {req_weights} GROUP BY role) d ON p.role = d.role
        GROUP BY p.role, p.candidate_id""",
@@ -114,7 +128,7 @@ view(
 
 
 def cosine_ranked(t: Tables):
-    return R.cosine_baseline_rank(t.chunk_vectors, t.sub_queries, t.req_weights)
+    return R.cosine_baseline_rank(t.chunk_vectors, t.sub_queries, t.req_weights, t.req_names)
 
 
 @query(

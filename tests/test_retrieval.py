@@ -70,3 +70,45 @@ def test_relevance_metrics(spark):
     row = R.relevance_metrics(ranked, labels).first()
     assert (row.recall, row.precision, row.reciprocal_rank) == (0.5, 0.5, 0.5)
     assert row.ndcg == pytest.approx(0.6309 / 1.6309, abs=1e-3)
+
+
+def vectors(spark, n=300):
+    import random
+
+    r = random.Random(4)
+    some = lambda: [r.uniform(-1, 1) for _ in range(6)]
+    rows = [(k % 3 if k % 17 else None, k % 40, k, None if k == 50 else [0.0] * 6 if k == 9 else some()) for k in range(n)]
+    chunks = spark.createDataFrame(rows, "role int, candidate_id int, chunk_id int, embedding array<float>")
+    asked = [(role, req, pos, some()) for role in (0, 1) for req in (1, 2) for pos in range(req)] + [(1, 2, 9, [0.0] * 6)]
+    return chunks, spark.createDataFrame(asked, "role int, req_id int, sq_pos int, query array<float>")
+
+
+@pytest.mark.parametrize("limit", [50_000, 3])
+def test_best_cosines_equal_the_maxima_of_all_pairs(spark, monkeypatch, limit):
+    monkeypatch.setattr(R, "MAX_QUERIES", limit)
+    chunks, queries = vectors(spark)
+    key = ["role", "candidate_id", "req_id", "sq_pos"]
+    best = lambda df: {tuple(r)[:4]: r.best for r in df.groupBy(*key).agg(F.max("cosine").alias("best")).collect()}
+    expected = best(R.cosine_scores(chunks.where("embedding IS NOT NULL"), queries))
+    got = best(R.best_cosines(chunks.repartition(5), queries))
+    assert len(expected) == 2 * 40 * 3 + 40 and got.keys() == expected.keys()
+    assert all(abs(got[k] - expected[k]) <= 1e-9 for k in got)
+    assert R.best_cosines(chunks.limit(0), queries).count() == R.best_cosines(chunks, queries.limit(0)).count() == 0
+
+
+def test_best_cosines_check_dimensions(spark, scored):
+    queries = scored[1].withColumn("query", F.array(F.lit(1.0).cast("float")))
+    with pytest.raises(Exception, match="dimension mismatch"):
+        R.best_cosines(scored[0], queries).collect()
+
+
+def test_a_requirement_without_sub_queries_is_asked_by_its_name(spark, scored):
+    chunks, queries = scored
+    names = spark.createDataFrame([("r", "REQ-1", axis(3)), ("r", "REQ-2", axis(1))], "role string, req_id string, query array<float>")
+    asked = {(r.req_id, r.sq_pos): r.query for r in R.with_name_queries(queries, names).collect()}
+    assert asked == {("REQ-1", 0): axis(0), ("REQ-1", 1): axis(1), ("REQ-2", 0): axis(1)}
+    weights = spark.createDataFrame([("r", "REQ-1", 3.0), ("r", "REQ-2", 1.0)], "role string, req_id string, weight double")
+    lone = chunks.where("chunk_id LIKE '%__0'")  # equal to the first sub-query, orthogonal to all others
+    assert {r.total for r in R.cosine_baseline_rank(lone, queries, weights, names).collect()} == {37.5}
+    assert {r.total for r in R.cosine_baseline_rank(chunks, queries, weights, names).collect()} == {100.0}
+    assert {r.total for r in R.cosine_baseline_rank(chunks, queries, weights).collect()} == {75.0}
