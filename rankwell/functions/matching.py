@@ -164,31 +164,36 @@ def expected_years(text: Column) -> Column:
     )
 
 
-def years_near(text: Column, pattern: Column, reach: int = 80) -> Column:
-    """Most years stated within ``reach`` characters of a match of ``pattern``, else most years stated anywhere.
+def years_windows(text: Column, reach: int = 80) -> Column:
+    """Each phrase of years of a text, with what stands within ``reach`` characters of it: array of (years, window).
 
     Cutting the text at its years phrases gives each phrase's position, so overlapping windows are fine.
     """
+    none = F.array().cast("array<struct<years: double, window: string>>")
 
     def scan(t: Column) -> Column:
         phrases = F.regexp_extract_all(t, F.lit(f"({YEARS})"), F.lit(1))
         gaps = F.split(t, YEARS)
-        start = F.struct(F.lit(0).alias("pos"), F.lit(0.0).alias("near"), F.lit(0.0).alias("any"))
+        start = F.struct(F.lit(0).alias("pos"), none.alias("found"))
 
         def step(s: Column, x: Column) -> Column:
             at = s["pos"] + F.length(x["gap"])
             left = F.greatest(at - reach, F.lit(0))
             window = F.substr(t, left + 1, at + F.length(x["phrase"]) + reach - left)
             years = F.regexp_extract(x["phrase"], r"^(\d+(?:\.\d+)?)", 1).try_cast("double")
-            near = F.when(F.rlike(window, pattern), F.greatest(s["near"], years)).otherwise(s["near"])
-            return F.struct(
-                (at + F.length(x["phrase"])).alias("pos"), near.alias("near"), F.greatest(s["any"], years).alias("any")
-            )
+            found = F.concat(s["found"], F.array(F.struct(years.alias("years"), window.alias("window"))))
+            return F.struct((at + F.length(x["phrase"])).alias("pos"), found.alias("found"))
 
         rows = F.zip_with(F.slice(gaps, 1, F.size(phrases)), phrases, lambda g, p: F.struct(g.alias("gap"), p.alias("phrase")))
-        return F.aggregate(rows, start, step, lambda s: F.when(s["near"] > 0, s["near"]).otherwise(s["any"]))
+        return F.aggregate(rows, start, step, lambda s: s["found"])
+
+    return F.coalesce(let(squash(text), scan), none)
+
 
-    return F.coalesce(let(squash(text), scan), F.lit(0.0))
+def most_years(windows: Column, pattern: Column) -> Column:
+    """Most years of the windows in which ``pattern`` occurs, else of all; 0 without any."""
+    near = F.array_max(F.transform(F.filter(windows, lambda w: F.rlike(w["window"], pattern)), lambda w: w["years"]))
+    return F.coalesce(F.when(near > 0, near), F.array_max(F.transform(windows, lambda w: w["years"])), F.lit(0.0))
 
 
 def requirement_type(category: Column, name: Column) -> Column:

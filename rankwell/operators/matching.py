@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rankwell.functions import matching as M
 from rankwell.functions.bands import binary_score, grade_band, has_any, tier_band
 from rankwell.operators.ranking import top_rows
-from rankwell.runtime import small_side
+from rankwell.runtime import durable, small_side
 
 # Other words for a requirement. Entries holding \b are patterns, all others literal phrases.
 SYNONYMS = {
@@ -244,17 +244,29 @@ def requirement_aliases(reqs: DataFrame, synonyms: dict[str, list[str]] = SYNONY
     )
 
 
-def presence_match(profile_lines: DataFrame, reqs: DataFrame, synonyms: dict[str, list[str]] = SYNONYMS) -> DataFrame:
-    """First profile line mentioning a requirement, by section priority, with a snippet.
+# The shortest line of an experience that counts, and the sections whose mentions carry no years.
+MIN_EXPERIENCE_LINE = 3
+WITHOUT_YEARS = ("certifications", "projects")
+
 
-    ``profile_lines``: role, candidate_id, section_prio, section, pos, text; ``reqs``: role, req_id, req_name.
-    Lines meet aliases on (role, first token): a line keeps the tokens its role's aliases can begin with, a list as
-    short as the aliases, and only the candidates found so are tested with the pattern.
+def presence_match(profile_lines: DataFrame, reqs: DataFrame, synonyms: dict[str, list[str]] = SYNONYMS) -> DataFrame:
+    """First profile line mentioning a requirement, by section priority, with a snippet and the years stated with it.
+
+    ``profile_lines``: role, candidate_id, section_prio, section, pos, text, and entry_pos if sections have several
+    entries; ``reqs``: role, req_id, req_name. Lines meet aliases on (role, first token): a line keeps the tokens its
+    role's aliases can begin with, a list as short as the aliases, and only the candidates found so are tested with the
+    pattern. Years are those near an alias in the whole entry (for skills and others, section) of that line, else
+    anywhere in it, else in the summary; certificates and projects have none. Only windows around years are joined to
+    the mentions, no texts.
     """
+    lines = profile_lines
+    if "entry_pos" not in lines.columns:  # then an education line is an entry, any other section is one
+        lines = lines.withColumn("entry_pos", F.when(F.col("section") == "education", F.col("pos").cast("long")).otherwise(0))
     aliases = small_side(requirement_aliases(reqs.select("role", "req_id", "req_name"), synonyms))
     wanted = small_side(aliases.groupBy("role").agg(F.collect_set("token").alias("_wanted")))
     hits = (
-        profile_lines.join(wanted, "role")
+        lines.filter((F.col("section") != "experience") | (F.length("text") >= MIN_EXPERIENCE_LINE))
+        .join(wanted, "role")
         .withColumn("token", F.explode(F.array_intersect(M.tokens(F.col("text")), "_wanted")))
         .drop("_wanted")
         .join(aliases, ["role", "token"])
@@ -263,15 +275,31 @@ def presence_match(profile_lines: DataFrame, reqs: DataFrame, synonyms: dict[str
     around = F.regexp_extract_all(
         F.col("_h.text"), F.concat(F.lit("(?s)(.{0,60}?(?:"), F.col("_h.pattern"), F.lit(").{0,220})")), F.lit(1)
     )[0]
-    return (
+    first = (
         hits.groupBy("role", "candidate_id", "req_id")
-        .agg(F.min_by(F.struct("section", "pos", "text", "pattern"), F.struct("section_prio", "pos", "alias_no")).alias("_h"))
+        .agg(F.min_by(F.struct("section", "pos", "text", "pattern", "entry_pos"), F.struct("section_prio", "entry_pos", "pos", "alias_no")).alias("_h"))
         .select(
             "role", "candidate_id", "req_id",
-            F.col("_h.section").alias("section"), F.col("_h.pos").alias("pos"),
+            F.col("_h.section").alias("section"), F.col("_h.pos").alias("pos"), F.col("_h.entry_pos").alias("entry_pos"),
             F.substr(F.trim(F.regexp_replace(around, r"\s+", " ")), F.lit(1), F.lit(220)).alias("snippet"),
         )
     )
+    units = lines.filter(~F.col("section").isin(*WITHOUT_YEARS)).groupBy("role", "candidate_id", "section", "entry_pos").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("_l")
+    )
+    windows = units.select("role", "candidate_id", "section", "entry_pos", M.years_windows(F.array_join(F.col("_l.text"), " | ")).alias("_w"))
+    windows = durable(windows.filter(F.size("_w") > 0))
+    summary = windows.filter(F.col("section") == "summary").groupBy("role", "candidate_id").agg(F.flatten(F.array_sort(F.collect_list("_w"))).alias("_s"))
+    named = small_side(any_alias_pattern(reqs.select("role", "req_id", "req_name"), synonyms).select("role", "req_id", "pattern"))
+    own = F.when(F.col("_w").isNotNull(), M.most_years(F.col("_w"), F.col("pattern"))).otherwise(0.0)
+    more = F.when(F.col("_s").isNotNull(), M.most_years(F.col("_s"), F.col("pattern"))).otherwise(0.0)
+    years = F.when(F.col("section").isin(*WITHOUT_YEARS), 0.0).when(own > 0, own).otherwise(more)
+    return (
+        first.join(windows, ["role", "candidate_id", "section", "entry_pos"], "left")
+        .join(summary, ["role", "candidate_id"], "left")
+        .join(named, ["role", "req_id"])
+        .select("role", "candidate_id", "req_id", "section", "pos", "snippet", years.alias("years"))
+    )
 
 
 def any_alias_pattern(reqs: DataFrame, synonyms: dict[str, list[str]] = SYNONYMS) -> DataFrame:
@@ -285,16 +313,33 @@ def any_alias_pattern(reqs: DataFrame, synonyms: dict[str, list[str]] = SYNONYMS
 def years_near_alias(texts: DataFrame, reqs: DataFrame, synonyms: dict[str, list[str]] = SYNONYMS) -> DataFrame:
     """Years stated near a requirement's aliases in a text, else anywhere in it, else in the summary.
 
-    ``texts``: role, candidate_id, text, summary; ``reqs``: role, req_id, req_name.
+    ``texts``: role, candidate_id, text, summary; ``reqs``: role, req_id, req_name. A text is cut once into the windows
+    around its years phrases; windows meet aliases on (role, first token), and only those that share one are tested with
+    the pattern. Texts themselves are joined with nothing.
     """
-    patterns = any_alias_pattern(reqs.select("role", "req_id", "req_name"), synonyms)
-    own = M.years_near(F.col("text"), F.col("pattern"))
-    summary = M.years_near(F.coalesce("summary", F.lit("")), F.col("pattern"))
-    return (
-        texts.join(small_side(patterns), "role")
-        .withColumn("years", own)
-        .withColumn("years", F.when(F.col("years") > 0, F.col("years")).otherwise(summary))
-        .select("role", "candidate_id", "req_id", "years")
+    aliases = small_side(requirement_aliases(reqs.select("role", "req_id", "req_name"), synonyms).select("role", "req_id", "token", "pattern").distinct())
+    windows = durable(texts.select(
+        F.monotonically_increasing_id().alias("_row"), "role", "candidate_id",
+        M.years_windows(F.col("text")).alias("_own"), M.years_windows(F.coalesce("summary", F.lit(""))).alias("_more"),
+    ))
+    most = lambda name: F.coalesce(F.array_max(F.col(f"{name}.years")), F.lit(0.0))
+    asked = windows.select("_row", "role", "candidate_id", most("_own").alias("_any"), most("_more").alias("_any_more")).join(
+        small_side(reqs.select("role", "req_id").distinct()), "role"
+    )
+    parts = F.array(F.struct(F.lit(True).alias("own"), F.col("_own").alias("w")), F.struct(F.lit(False).alias("own"), F.col("_more").alias("w")))
+    each = windows.select("_row", "role", F.inline(parts)).select("_row", "role", "own", F.inline("w"))
+    hits = (
+        each.withColumn("token", F.explode(M.tokens(F.col("window"))))
+        .join(aliases, ["role", "token"])
+        .filter(F.rlike("window", F.col("pattern")))
+    )
+    near = hits.groupBy("_row", "req_id").agg(
+        F.max(F.when(F.col("own"), F.col("years"))).alias("_near"), F.max(F.when(~F.col("own"), F.col("years"))).alias("_near_more")
+    )
+    stated = lambda close, any_: F.when(F.col(close) > 0, F.col(close)).otherwise(F.col(any_))
+    own = stated("_near", "_any")
+    return asked.join(near, ["_row", "req_id"], "left").select(
+        "role", "candidate_id", "req_id", F.when(own > 0, own).otherwise(stated("_near_more", "_any_more")).alias("years")
     )
 
 

@@ -229,7 +229,8 @@ def _(t: Tables):
 # Requirements named by common words of the corpus, with synonyms of their own.
 view(
     "profile_lines",
-    """SELECT source AS role, doc_id AS candidate_id, line_no AS pos, line AS text, CAST(length(line) % 6 AS INT) AS section_prio,
+    """SELECT source AS role, doc_id AS candidate_id, line_no AS pos, CASE WHEN length(line) % 4 = 0 THEN concat(line, ' for ', CAST(length(line) % 13 AS STRING), '+ Yrs') ELSE line END AS text,
+              CAST(length(line) % 6 AS INT) AS section_prio,
               CASE CAST(length(line) % 6 AS INT) WHEN 0 THEN 'experience' WHEN 1 THEN 'skills' WHEN 2 THEN 'education' WHEN 3 THEN 'certifications' WHEN 4 THEN 'projects' ELSE 'summary' END AS section
        FROM {doc_lines}""",
 )
@@ -240,12 +241,43 @@ view(
 _B0, _B1 = r"(^|[^\p{L}\p{N}_])", r"([^\p{L}\p{N}_]|$)"
 
 
+_YEARS = r"\d+(?:\.\d+)?\s*\+?\s*(?:year|yr)s?"
+
+
+def _windows_sql(keys: str, rows: str) -> str:
+    """keys, w: the years phrases of ``text`` in rows, each with 80 characters around it."""
+    at = "len(array_to_string(gap[1:i], '')) + len(array_to_string(phr[1:i - 1], ''))"
+    return f"""SELECT {keys}, list_transform(range(1, len(phr) + 1), lambda i: {{'y': CAST(regexp_extract(phr[i], '^(\\d+(\\.\\d+)?)', 1) AS DOUBLE),
+                 'w': substr(t, greatest({at} - 80, 0) + 1, {at} + len(phr[i]) + 80 - greatest({at} - 80, 0))}}) AS w
+          FROM (SELECT *, regexp_extract_all(t, '{_YEARS}') AS phr, string_split_regex(t, '{_YEARS}') AS gap
+                FROM (SELECT *, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM ({rows}) r) a) b"""
+
+
+def _most_sql(w: str, pattern: str) -> str:
+    return f"coalesce(nullif(list_max(list_transform(list_filter({w}, lambda x: regexp_matches(x.w, {pattern})), lambda x: x.y)), 0), list_max(list_transform({w}, lambda x: x.y)), 0)"
+
+
+view(
+    "presence_patterns_o", spark="SELECT 1",
+    oracle=f"""SELECT role, req_id, CASE req_id WHEN 'en' THEN '{_B0}(the|of the|nd){_B1}' WHEN 'fr' THEN '{_B0}(la|des|le la){_B1}'
+                   WHEN 'de' THEN '{_B0}(und|nicht|sch, der){_B1}' ELSE '{_B0}que{_B1}' END AS p FROM {{presence_reqs}}""",
+)
+view(
+    "presence_windows_o", spark="SELECT 1",
+    oracle=_windows_sql("role, candidate_id, section, entry", """SELECT role, candidate_id, section, CASE section WHEN 'education' THEN pos ELSE 0 END AS entry, string_agg(text, ' | ' ORDER BY pos) AS text
+             FROM {profile_lines} WHERE section NOT IN ('certifications', 'projects') GROUP BY ALL"""),
+)
+
+
 @query(
     "presence_match",
-    f"""SELECT role, candidate_id, req_id, arg_min(section, (section_prio, pos)) AS section, arg_min(pos, (section_prio, pos)) AS pos
-        FROM (SELECT l.*, req_id FROM {{profile_lines}} l JOIN {{presence_reqs}} r ON l.role = r.role AND regexp_matches(lower(text),
-              CASE req_id WHEN 'en' THEN '{_B0}(the|of the|nd){_B1}' WHEN 'fr' THEN '{_B0}(la|des|le la){_B1}'
-                   WHEN 'de' THEN '{_B0}(und|nicht|sch, der){_B1}' ELSE '{_B0}que{_B1}' END)) x GROUP BY role, candidate_id, req_id""",
+    f"""SELECT f.role, f.candidate_id, f.req_id, f.section, f.pos, CASE WHEN f.section IN ('certifications', 'projects') THEN 0
+               WHEN coalesce({_most_sql('o.w', 'f.p')}, 0) > 0 THEN {_most_sql('o.w', 'f.p')} ELSE {_most_sql('s.w', 'f.p')} END AS years
+        FROM (SELECT l.role, candidate_id, req_id, p, arg_min(section, (section_prio, CASE section WHEN 'education' THEN pos ELSE 0 END, pos)) AS section, arg_min(pos, (section_prio, pos)) AS pos
+              FROM {{profile_lines}} l JOIN {{presence_patterns_o}} r ON l.role = r.role AND regexp_matches(lower(text), p)
+              WHERE section <> 'experience' OR length(text) >= 3 GROUP BY ALL) f
+        LEFT JOIN {{presence_windows_o}} o ON o.role = f.role AND o.candidate_id = f.candidate_id AND o.section = f.section AND o.entry = CASE f.section WHEN 'education' THEN f.pos ELSE 0 END
+        LEFT JOIN {{presence_windows_o}} s ON s.role = f.role AND s.candidate_id = f.candidate_id AND s.section = 'summary'""",
 )
 def _(t: Tables):
     words = {"the": ["of the", "nd"], "la": ["des", "le la", "c++"], "und": ["nicht", "sch, der"]}
@@ -259,7 +291,15 @@ view(
 )
 
 
-@query("years_near_alias")
+view("years_windows_o", spark="SELECT 1", oracle=_windows_sql("role, candidate_id", "SELECT role, candidate_id, text FROM {years_texts}"))
+
+
+@query(
+    "years_near_alias",
+    f"""SELECT role, candidate_id, req_id, {_most_sql('w', 'p')} AS years FROM {{years_windows_o}} JOIN (
+          SELECT role, req_id, CASE req_id WHEN 'en' THEN '{_B0}(the|of the|nd){_B1}' WHEN 'fr' THEN '{_B0}(la|des){_B1}'
+                 WHEN 'de' THEN '{_B0}und{_B1}' ELSE '{_B0}que{_B1}' END AS p FROM {{presence_reqs}}) r USING (role)""",
+)
 def _(t: Tables):
     return M.years_near_alias(t.years_texts, t.presence_reqs, {"the": ["of the", "nd"], "la": ["des"]})
 
