@@ -17,8 +17,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Common English insults; stems of other languages and corpora are learned from labels.
-INSULTS = ("idiot", "moron", "stupid", "scum", "trash", "loser", "pathetic", "worthless", "disgusting", "clown")
 REPORTING = frozenset("said says called calls wrote quoted quote quoting reported dit écrit dijo dice sagte sagt".split())
 ADDRESSING = frozenset("you your youre u tu te vous votre eres usted du dich dein sie".split())
 QUOTES = "\"“”„«»"
@@ -159,18 +157,19 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights + self.bias, -30, 30)))
 
 
-def learn_stems(texts: DataFrame, most: int = 2_000) -> tuple[str, ...]:
+def learn_stems(texts: DataFrame) -> tuple[str, ...]:
     """Stems of four to nine letters that mark the positive texts among (text, y) rows.
 
     A beginning of a word is a stem if at least five positive texts have it, almost no other does, and chance doesn't
-    explain it. The shortest such beginning counts, lengthened as far as the same texts have it.
+    explain it. The shortest such beginning counts, lengthened as far as the same texts have it. All of them are kept; their
+    number is bounded by the words of the labelled sample.
     """
     words = texts.select("_n", "y", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]{4,})"), F.lit(1)))).alias("w"))
     heads = words.select("_n", "y", F.explode(F.expr("transform(sequence(4, least(9, length(w))), n -> substring(w, 1, n))")).alias("head")).distinct()
     counts = heads.groupBy("head").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n"))
     sizes = texts.agg(F.coalesce(F.avg("y"), F.lit(0.0)).alias("rate")).first()
     rate = min(max(sizes["rate"], 1e-3), 0.999)
-    rows = counts.where("pos >= 5 AND pos >= 0.97 * n").orderBy(F.col("pos").desc(), "head").limit(20 * most).collect()
+    rows = counts.where("pos >= 5 AND pos >= 0.97 * n").collect()
     found = {r["head"]: r["pos"] for r in rows if r["pos"] * -np.log10(rate) >= 6}
     stems: list[str] = []
     for head in sorted(found, key=lambda h: (len(h), h)):
@@ -179,7 +178,7 @@ def learn_stems(texts: DataFrame, most: int = 2_000) -> tuple[str, ...]:
         while longer := [h for h in found if len(h) == len(head) + 1 and h.startswith(head) and found[h] >= 0.97 * found[head]]:
             head = longer[0]
         stems.append(head)
-    return tuple(sorted(stems, key=lambda h: (-found[h], h))[:most])
+    return tuple(sorted(stems, key=lambda h: (-found[h], h)))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.05, steps: int = 30) -> tuple[np.ndarray, float]:
@@ -200,15 +199,15 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     The weights come from one half, with stems learned from the other half, so that stems found by chance get no undue
     trust; the model's stems then come from both.
-    Repeated labels of an id count once; rows without id, label or text aren't used. Without any row, the built-in
-    lexicon and the weights' prior remain.
+    Repeated labels of an id count once; rows without id, label or text aren't used. The lexicon holds learned stems
+    alone: without any row it is empty and every text gets the prior's score.
     """
     chosen = labels.where(F.col(doc_id).isNotNull() & F.col(target).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max(target).alias("y"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).where("text IS NOT NULL").join(F.broadcast(chosen), "_id")
     rows = rows.select(F.xxhash64("_id", F.lit(1)).alias("_n"), F.col("y").cast("int").alias("y"), "text")
-    half = tuple(dict.fromkeys([*INSULTS, *learn_stems(rows.where("_n % 2 = 0"))]))
-    stems = tuple(dict.fromkeys([*INSULTS, *learn_stems(rows)]))
+    half = learn_stems(rows.where("_n % 2 = 0"))
+    stems = learn_stems(rows)
     scored = rows.where("_n % 2 <> 0").mapInArrow(_measure(half), "y int, x array<double>").toPandas()
     if not len(scored):
         return Model(stems, *fit_logistic(np.empty((0, N_FEATURES)), np.empty(0)))

@@ -5,6 +5,9 @@ import pytest
 from rankwell.llm import toxicity as T
 
 
+STEMS = ("idiot", "moron", "stupid", "scum", "worthless")
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -30,13 +33,13 @@ def test_machine_equals_edit_distances():
 
 
 def test_misspellings_are_caught():
-    machine = T.Machine(T.INSULTS)
+    machine = T.Machine(STEMS)
     assert [machine.match(w) for w in ("idiot", "idiots", "idoit", "idi0t", "stupd", "worthles", "wrothless", "idea", "")] == [0, 0, None, 1, 1, 1, 2, None, None]
 
 
 def test_machine_forgets_within_bounds(monkeypatch):
     monkeypatch.setattr(T.Machine, "LIMIT", 30)
-    machine = T.Machine(T.INSULTS)
+    machine = T.Machine(STEMS)
     for i in range(500):
         machine.match(f"word{i}")
         assert len(machine.words) <= 31
@@ -44,7 +47,7 @@ def test_machine_forgets_within_bounds(monkeypatch):
 
 
 def test_windows_tell_quotation_from_abuse():
-    machine = T.Machine(T.INSULTS)
+    machine = T.Machine(STEMS)
     abuse = T.features("you are such an idiot and everyone knows", machine)
     quoted = T.features('the paper said “such an idiot” in its report', machine)
     assert abuse[0] > quoted[0] > 0 and abuse[1] == 1.25 and quoted[1] < 0.2
