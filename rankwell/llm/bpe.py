@@ -202,12 +202,10 @@ class ByteBpe:
 
 
 class Encoder:
-    """Token ids of pieces of text, each encoded once; all but ``given`` pieces are forgotten beyond a number of them."""
+    """Token ids of pieces of text, each encoded once; all but ``given`` pieces are forgotten beyond ``limit`` of them."""
 
-    LIMIT = 500_000
-
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], given: list[str]):
-        self.encode, self.given = encode, given
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], given: list[str], limit: int = 500_000):
+        self.encode, self.given, self.limit = encode, given, limit
         self._reset()
 
     def _reset(self) -> None:
@@ -217,7 +215,7 @@ class Encoder:
 
     def rows(self, pieces: list[str]) -> np.ndarray:
         """The row of each piece in ``first`` and ``counts``; valid until the next call."""
-        if len(self.at) > self.LIMIT + len(self.given):
+        if len(self.at) > self.limit + len(self.given):
             self._reset()
         rows = np.fromiter(map(self.at.get, pieces, repeat(-1)), np.int64, len(pieces))
         unknown = np.flatnonzero(rows < 0).tolist()

@@ -15,6 +15,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,8 @@ from pyspark.sql.window import Window
 from rankwell.llm.bpe import ByteBpe, Encoder, chunks, split
 
 WORK = 1 << 15  # steps of the merge in a piece
-GROUP = 1_000_000  # characters of texts that are aligned together
+GROUP = 400_000  # characters of texts that are aligned together
+REMEMBERED = 300_000  # pieces of text whose tokens a worker keeps, for each tokenizer
 MAX_PAIRS = 2_000_000  # pairs of ids that can be linked at all, up to which their counts are broadcast
 FIELDS = ["a_ids", "b_ids", "a_cuts", "b_cuts", "links"]
 SCHEMA = "struct<a_ids: array<int>, b_ids: array<int>, a_cuts: array<int>, b_cuts: array<int>, links: array<struct<a_id: int, b_id: int>>>"
@@ -77,7 +79,7 @@ class Pieces:
             raise ValueError("pieces reach over blanks or line ends")
         self.sizes = np.array([len(t) for t in self.tokens], np.int64)
         self.lead = self.model.encode("\n")
-        self.encoder = Encoder(self._encode, [])  # ``exact``, by its rows: the pieces spell the stretch
+        self.encoder = Encoder(self._encode, [], REMEMBERED)  # ``exact``, by its rows: the pieces spell the stretch
 
     def _bytes(self) -> list[bytes]:
         m = self.model
@@ -188,12 +190,13 @@ def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text", into: s
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names, a, whole, model = shipped.value
         if names not in _READY:
-            _READY[names] = (a, Encoder(a.encode_pieces, whole), Pieces(model))
+            _READY[names] = (a, Encoder(a.encode_pieces, whole, REMEMBERED), Pieces(model))
         for column in batches:
-            texts = [t or "" for t in column.to_pylist()]
-            # Small groups go back one by one, so no list of a whole batch's tokens is ever held.
-            for group in list(chunks(texts, GROUP)) or [[]]:
-                yield made(align_texts([texts[n] for n in group], *_READY[names]))
+            # Small groups go back one by one, so neither texts nor tokens of a whole batch are ever held.
+            ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)) // GROUP
+            stops = [*(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(column)]
+            for start, stop in zip([0, *stops], stops):
+                yield made(align_texts(column.slice(start, stop - start).to_pylist(), *_READY[names]))
 
     # Not to be copied into the expressions that use its fields.
     return docs.withColumn(into, run.asNondeterministic()(F.col(text)))

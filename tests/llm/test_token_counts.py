@@ -61,8 +61,7 @@ def test_heap_and_batches_merge_alike(rules):
 
 
 def test_an_encoder_forgets_and_goes_on(rules):
-    encoder = bpe.Encoder(rules.encode_pieces, rules.whole[:100])
-    encoder.LIMIT = 50
+    encoder = bpe.Encoder(rules.encode_pieces, rules.whole[:100], 50)
     expected = [rules.encode_pieces([f"zq{k}xv"])[1][0] for k in range(400)]
     got = []
     for k in range(0, 400, 20):
