@@ -157,7 +157,9 @@ def _discordant(compact: DataFrame, block: int) -> DataFrame:
 
     Compact ranks fall into a grid of blocks. Pairs sharing an a-block, or else a b-block, are counted
     inside that block (at most ``block`` rows, one Arrow-fed inversion count each). Pairs sharing neither
-    depend on cell counts alone: a running sum down each grid column, then along each grid row.
+    depend on the counts of the cells that hold rows: two b-blocks first differ at one binary digit, so per digit and
+    prefix above it a running sum over the a-blocks counts the ones that stand before each zero. A running sum spans at
+    most the a-blocks, and no table is larger than occupied cells times digits.
     """
     grid = compact.select(
         *PAIR, "ra", "rb",
@@ -175,20 +177,18 @@ def _discordant(compact: DataFrame, block: int) -> DataFrame:
         .select(*PAIR, _cross_inversions(F.col("_x.ga"), F.col("_x.rb")).alias("d"))
     )
     cells = grid.groupBy(*PAIR, "ga", "gb").agg(F.count(F.lit(1)).alias("n"))
-    columns = (
-        cells.groupBy(*PAIR, "gb")
-        .agg(F.lit(None).alias("_"))
-        .join(cells.groupBy(*PAIR).agg(F.max("ga").alias("_last")), PAIR)
-        .select(*PAIR, "gb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("ga"))
+    digits = cells.join(cells.groupBy(*PAIR).agg(F.length(F.bin(F.max("gb"))).alias("_digits")), PAIR).select(
+        *PAIR, "ga", "gb", "n", F.explode(F.sequence(F.lit(0), F.col("_digits") - 1)).alias("bit")
     )
-    down = Window.partitionBy(*PAIR, "gb").orderBy("ga").rowsBetween(Window.unboundedPreceding, -1)
-    along = Window.partitionBy(*PAIR, "ga").orderBy(F.col("gb").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    one = F.expr("shiftright(gb, bit) & 1") == 1
+    sides = digits.groupBy(*PAIR, "bit", F.expr("shiftright(gb, bit + 1)").alias("prefix"), "ga").agg(
+        F.sum(F.when(one, F.col("n")).otherwise(0)).alias("_ones"), F.sum(F.when(one, 0).otherwise(F.col("n"))).alias("_zeros")
+    )
+    before = Window.partitionBy(*PAIR, "bit", "prefix").orderBy("ga").rowsBetween(Window.unboundedPreceding, -1)
     apart = (
-        columns.join(cells, [*PAIR, "ga", "gb"], "left")
-        .withColumn("_above", F.coalesce(F.sum("n").over(down), F.lit(0)))
-        .withColumn("_right", F.coalesce(F.sum("_above").over(along), F.lit(0)))
-        .filter(F.col("n").isNotNull() & (F.col("_right") > 0))
-        .select(*PAIR, (F.col("n") * F.col("_right")).alias("d"))
+        sides.withColumn("_before", F.coalesce(F.sum("_ones").over(before), F.lit(0)))
+        .filter((F.col("_before") > 0) & (F.col("_zeros") > 0))
+        .select(*PAIR, (F.col("_before") * F.col("_zeros")).alias("d"))
     )
     parts = reduce(DataFrame.unionByName, [by_a, by_b, apart])
     return parts.groupBy(*PAIR).agg(F.sum("d").alias("discordant"))

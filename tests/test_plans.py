@@ -10,7 +10,7 @@ from rankwell.plans import QUERIES
 from rankwell.runtime import small_side
 
 SF = "/root/testdata/sf0.001"
-WITH_PYTHON = {"chunk_recursive", "rank_correlation", "study_stability", "baseline_stability", "baseline_alignment"}
+WITH_PYTHON = {"chunk_recursive", "cosine_baseline_rank", "rank_correlation", "study_stability", "baseline_stability", "baseline_alignment"}
 
 
 def plan(df) -> str:
