@@ -20,6 +20,14 @@ def lower_ascii(text: Column) -> Column:
     return F.when(text.rlike("[A-Z]"), F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise(text)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores in front as no column has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def n_plain_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(PLAIN_WORD)), F.lit(0)).cast("long")
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankwell.llm.common import NOT_ALNUM
+from rankwell.llm.common import NOT_ALNUM, free_name
 from rankwell.runtime import durable, small_side
 
 MAX_SEEDS = 600_000  # of the items, up to which their hashes may be broadcast
@@ -69,7 +69,13 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: st
     The items' hashes are broadcast if they are measured to be few; beyond that the join shuffles and the optimizer's
     run-time Bloom filter keeps positions that meet no item out of the shuffle.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.md5(text).alias("key"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.md5(text).alias("key"))
+    named = _overlaps_of_texts(docs.select(F.col(text).alias("text"), F.md5(text).alias("key")), items, item_id, item_text, least, percent)
+    return rows.distinct().join(named, "key").drop("key")
+
+
+def _overlaps_of_texts(rows: DataFrame, items: DataFrame, item_id: str, item_text: str, least: int, percent: int) -> DataFrame:
+    """The overlaps of texts (key, text), by key."""
     tests = items.select(F.col(item_id).alias("item_id"), F.md5(item_text).alias("item_key"), tokens(F.col(item_text)).alias("item"))
     known = _spots(tests.select(F.col("item_key").alias("key"), F.col("item").alias("words")).dropDuplicates(["key"]))
     known = small_side(known.select("hash", F.col("key").alias("item_key"), F.col("pos").alias("at")).where("hash IS NOT NULL"), max_rows=MAX_SEEDS)
@@ -91,11 +97,16 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: st
     checked = checked.select("key", "item_key", "first_word", "n_compared", "size", "j.n", "j.bent")
     good = checked.where(f"bent < 0 OR {enough('bent').replace('size(item)', 'size')}").selectExpr("key", "item_key", "first_word", "n_compared", "bent >= 0 AS strays", "if(bent < 0, n, bent) AS n_equal")
     best = good.groupBy("key", "item_key").agg(F.min(F.struct("strays", -F.col("n_equal"), "first_word", "n_compared", "n_equal")).alias("b"))
-    named = best.join(tests.select("item_key", "item_id").distinct(), "item_key").select("key", "item_id", "b.first_word", "b.n_compared", "b.n_equal")
-    return rows.select("doc_id", "key").distinct().join(named, "key").drop("key")
+    return best.join(tests.select("item_key", "item_id").distinct(), "item_key").select("key", "item_id", "b.first_word", "b.n_compared", "b.n_equal")
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows whose text overlaps a benchmark item; all columns stay. Rows without an id stay."""
-    gone = overlaps(docs, items, doc_id, text, **options).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = 8, percent: int = 50) -> DataFrame:
+    """``docs`` without the rows whose text overlaps a benchmark item; all columns stay, whatever they are called.
+
+    The text decides, not the id: contaminated rows without an id go, and of two texts under one id only the contaminated
+    one. Null and empty texts stay, repeated rows stay or go together, an empty table stays empty.
+    """
+    key = free_name(docs.columns, "_gone")
+    found = _overlaps_of_texts(docs.select(F.col(text).alias("text"), F.md5(text).alias("key")), items, item_id, item_text, least, percent)
+    gone = small_side(found.select(F.col("key").alias(key)).distinct())
+    return docs.join(gone, F.md5(F.col(text)) == F.col(key), "left_anti")

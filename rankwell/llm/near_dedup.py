@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankwell.llm.common import WordHashes, connected_components
+from rankwell.llm.common import WordHashes, connected_components, free_name
 from rankwell.runtime import durable, small_side
 
 BANDS, ROWS = 32, 5
@@ -252,6 +252,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def keep_one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the rows that are near copies of a row with a smaller id; all columns stay."""
-    gone = near_duplicates(docs, doc_id, text, shingle, percent).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    """``docs`` without the rows that are near copies of a row with a smaller id; all columns stay, whatever they are called.
+
+    Rows without an id, and null and empty texts, stay; repeated rows of one id stay or go together. An empty table stays empty.
+    """
+    gone = free_name(docs.columns, "_gone")
+    copies = near_duplicates(docs, doc_id, text, shingle, percent).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(copies, F.col(doc_id) == F.col(gone), "left_anti")

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankwell.llm.common import free_name
+
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct_words", "n_upper", "n_marks", "n_lines"]
 COUNTS_SCHEMA = ", ".join(f"{c} bigint" for c in COUNTS)
@@ -197,5 +199,6 @@ def judge(docs: DataFrame, trees: Trees | None, text: str = "text", into: str =
 
 
 def keep_good(docs: DataFrame, trees: Trees | None, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with their columns."""
-    return judge(docs, trees, text).where("_quality.kept").drop("_quality")
+    """The rows of ``docs`` that ``judge`` keeps, with their columns, whatever those are called."""
+    verdict = free_name(docs.columns, "_quality")
+    return judge(docs, trees, text, into=verdict).where(F.col(verdict)["kept"]).drop(verdict)

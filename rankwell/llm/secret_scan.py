@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankwell.llm.common import free_name
 from rankwell.runtime import durable, small_side
 
 FINDINGS = "array<struct<rule:string, version:int, start:int, stop:int>>"
@@ -153,14 +154,15 @@ def _masked(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Serie
 def redact(docs: DataFrame, ledger_path: str, text: str = "text", path: str = "doc_id", rules: tuple[Rule, ...] = RULES, n_chars: str = "n_chars") -> DataFrame:
     """``docs`` with every finding replaced by its ``[kind]``, findings that overlap by that of the first.
 
-    All rows and columns stay. The column ``n_chars``, if there is one, is counted anew in the rows that change. Null
-    and empty texts stay as they are.
+    All rows and columns stay, whatever the columns are called. The column ``n_chars``, if there is one, is counted anew in the rows that change. Null
+    and empty texts stay as they are, repeated rows change alike, an empty table stays empty.
     """
     _, found = _update(docs, ledger_path, text, path, rules)
-    found = found.select(F.col("blob").alias("_blob"), F.col("findings").alias("_findings"))
-    joined = docs.withColumn("_key", blob_of(F.col(text))).join(small_side(found), F.col("_key") == F.col("_blob"), "left")
-    changed = joined.withColumn("_new", F.pandas_udf(_masked, "string")(F.when(F.col("_findings").isNotNull(), F.col(text)), F.col("_findings")))
+    key, blob, findings, new = (free_name(docs.columns, n) for n in ("_key", "_blob", "_findings", "_new"))
+    found = found.select(F.col("blob").alias(blob), F.col("findings").alias(findings))
+    joined = docs.withColumn(key, blob_of(F.col(text))).join(small_side(found), F.col(key) == F.col(blob), "left")
+    changed = joined.withColumn(new, F.pandas_udf(_masked, "string")(F.when(F.col(findings).isNotNull(), F.col(text)), F.col(findings)))
     if n_chars in docs.columns:
-        length = F.length("_new").cast(docs.schema[n_chars].dataType)
-        changed = changed.withColumn(n_chars, F.when(F.col("_new").isNotNull(), length).otherwise(F.col(n_chars)))
-    return changed.withColumn(text, F.coalesce("_new", text)).select(*docs.columns)
+        length = F.length(new).cast(docs.schema[n_chars].dataType)
+        changed = changed.withColumn(n_chars, F.when(F.col(new).isNotNull(), length).otherwise(F.col(n_chars)))
+    return changed.withColumn(text, F.coalesce(new, text)).select(*[f"`{c}`" for c in docs.columns])

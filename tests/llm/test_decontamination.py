@@ -71,9 +71,12 @@ def test_equals_brute_force(documents, prose, odd, spark):
 
 def test_filter_and_empty_tables(documents, prose, spark):
     items = spark.createDataFrame([(1, prose(20, 1))], "item_id bigint, text string")
-    docs = documents([(1, prose(30, 9) + " " + prose(20, 1)), (2, prose(50, 2)), (None, prose(20, 1)), (3, None)])
+    docs = documents([(1, prose(30, 9) + " " + prose(20, 1)), (1, prose(40, 3)), (2, prose(50, 2)), (None, prose(20, 1)), (None, prose(40, 4)), (3, None)])
+    docs = docs.selectExpr("*", "1 AS _gone", "2 AS __gone", "'k' AS _key")
     left = D.drop_contaminated(docs, items)
-    assert left.columns == docs.columns and sorted(str(r.doc_id) for r in left.collect()) == ["2", "3", "None"]
+    assert left.columns == docs.columns and sorted(str(r.doc_id) for r in left.collect()) == ["1", "2", "3", "None"]
+    assert {(r._gone, r["__gone"], r._key) for r in left.collect()} == {(1, 2, "k")}
+    assert D.drop_contaminated(documents([]), items).count() == 0
     assert D.overlaps(documents([]), items).count() == 0
     assert D.overlaps(docs, items.limit(0)).count() == 0
 

@@ -76,6 +76,8 @@ def test_judge_on_odd_rows(documents, odd, spark):
             assert not (q.kept and q.base_failed)
     assert Q.keep_good(docs, None).columns == docs.columns
     assert Q.keep_good(documents([]), None).count() == 0
+    clashing = docs.selectExpr("*", "'q' AS _quality")
+    assert Q.keep_good(clashing, None).columns == clashing.columns and {r._quality for r in Q.keep_good(clashing, None).collect()} == {"q"}
 
 
 def test_junk_goes_and_prose_stays(documents, prose, spark):

@@ -61,6 +61,17 @@ def test_redaction_keeps_rows_and_columns(documents, spark):
     assert all(base(t) == "" for t in texts)
 
 
+def test_redaction_leaves_columns_of_any_name_alone(documents, spark):
+    docs = documents(TEXTS).selectExpr("*", "concat('k', doc_id) AS _key", "'b' AS _blob", "'f' AS _findings", "'n' AS _new", "1 AS blob")
+    out = S.redact(docs, scratch_path(spark, "ledger"))
+    plain = S.redact(documents(TEXTS), scratch_path(spark, "ledger"))
+    assert out.columns == docs.columns
+    row = lambda r: (str(r.doc_id), str(r.text))
+    assert sorted(map(row, out.collect())) == sorted(map(row, plain.collect()))
+    assert {(r._key, r._blob, r._findings, r._new, r.blob) for r in out.where("doc_id IS NOT NULL").collect()} == {(f"k{i}", "b", "f", "n", 1) for i, _ in TEXTS if i is not None}
+    assert S.redact(documents([]), scratch_path(spark, "ledger")).count() == 0
+
+
 def test_empty_table(documents, spark):
     assert S.scan(documents([]), scratch_path(spark, "ledger")).count() == 0
 
