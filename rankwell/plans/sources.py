@@ -118,11 +118,15 @@ def _(t: Tables):
 # An event is a flag; its properties are extra keys, one of which tries to replace a core key.
 view(
     "event_flags",
-    spark="""SELECT user_id AS candidate_id, concat('r', user_id % 3) AS role, event_type AS flag_type, date_trunc('second', ts) AS timestamp, map('props', props, 'role', 'other') AS extra FROM {events}""",
-    oracle="SELECT user_id AS candidate_id, 'r' || (user_id % 3) AS role, event_type AS flag_type, date_trunc('second', ts) AS timestamp, props FROM events",
+    spark="""SELECT user_id AS candidate_id, concat('r', user_id % 3) AS role, event_id % 2 AS req_id, event_type AS flag_type, date_trunc('second', ts) AS timestamp, map('props', props, 'role', 'other') AS extra FROM {events}""",
+    oracle="SELECT user_id AS candidate_id, 'r' || (user_id % 3) AS role, event_id % 2 AS req_id, event_type AS flag_type, date_trunc('second', ts) AS timestamp, props FROM events",
 )
 
 
+# The log below is written in no order of time, so any flag may come last.
+ANY_ORDER = "36500 days"
+
+
 def _log(t: Tables) -> str:
     path = scratch_path(t.spark, "flags")
     W.append_flags(t.event_flags.filter("value < 10"), path)
@@ -146,7 +150,19 @@ def _(t: Tables):
 )
 def _(t: Tables):
     target, checkpoint = scratch_path(t.spark, "counts"), scratch_path(t.spark, "stream")
-    S.run_flag_counts(t.spark, _log(t), target, checkpoint)
+    S.run_flag_counts(t.spark, _log(t), target, checkpoint, late=ANY_ORDER, distinct=False)
+    return S.read_flag_counts(t.spark, target)
+
+
+@query(
+    "flag_stream_distinct",
+    """SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, role, flag_type, count(*) AS n
+       FROM (SELECT DISTINCT date_trunc('day', timestamp) AS window_start, candidate_id, role, req_id, flag_type FROM {event_flags}) x GROUP BY ALL""",
+)
+def _(t: Tables):
+    target, checkpoint = scratch_path(t.spark, "counts"), scratch_path(t.spark, "stream")
+    S.run_flag_counts(t.spark, _log(t), target, checkpoint, late=ANY_ORDER)
+    S.compact_flag_counts(t.spark, target)
     return S.read_flag_counts(t.spark, target)
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 
 def write_chunk_table(chunks: DataFrame, base: str, version: int) -> str:
@@ -45,15 +46,23 @@ def export_ranked(ranked: DataFrame, req_scores: DataFrame, summary: DataFrame,
     summary.write.partitionBy("role").mode("overwrite").option("partitionOverwriteMode", "dynamic").json(f"{base}/summary")
 
 
-CORE_FLAG_KEYS = ["candidate_id", "role", "flag_type", "timestamp"]
+# The keys of a flag that a caller's extra keys neither replace nor stand in for.
+CORE_FLAG_KEYS = [
+    "flag_type", "timestamp", "candidate_id", "role", "req_id", "requirement_name", "sub_query_keys", "sub_query_count", "theta", "chunker",
+]
 
 
 def merge_extra(flags: DataFrame) -> DataFrame:
-    """Adds the caller's extra keys to the flag's fields; they never replace a core key.
+    """Adds the caller's extra keys to the flag's fields; they never replace a core key, nor fill one the flag lacks.
 
-    ``flags``: the core columns and extra map<string,string>.
+    ``flags``: candidate_id, role, flag_type, timestamp, any of the other core columns, and extra map<string,string>.
+    Arrays become JSON.
     """
-    core = F.create_map(*[x for c in CORE_FLAG_KEYS for x in (F.lit(c), F.col(c).cast("string"))])
+
+    def written(name: str) -> Column:
+        return F.to_json(name) if isinstance(flags.schema[name].dataType, ArrayType) else F.col(name).cast("string")
+
+    core = F.create_map(*[x for c in CORE_FLAG_KEYS if c in flags.columns for x in (F.lit(c), written(c))])
     extra = F.map_filter(
         F.coalesce("extra", F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin(CORE_FLAG_KEYS)
     )
