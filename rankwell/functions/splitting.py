@@ -18,46 +18,42 @@ SEPARATORS = ("\n\n", "\n", ". ", " ")
 def pack_paragraphs(text: Column, limit: int = PACK_CHARS, overlap: int = PACK_OVERLAP) -> Column:
     """array<string> of pieces: paragraphs packed up to ``limit``, each next piece led by the last characters.
 
-    A paragraph too long to start with is cut once at the limit; its rest continues with an overlap.
+    A paragraph too long to start with is cut once at the limit; its rest continues with an overlap. An array fold copies
+    its state at every step, so the paragraphs are folded in blocks, as many as each holds: n paragraphs cost
+    n times the square root of n copies at most, instead of n times n.
     """
+    none = F.array().cast("array<string>")
 
-    def add(state: Column, para: Column) -> Column:
-        def place(joined: Column) -> Column:
-            cur, out = state["cur"], state["out"]
-
-            def make(cur_: Column, out_: Column) -> Column:
-                return F.struct(cur_.alias("cur"), out_.alias("out"))
-
-            return (
-                F.when(F.length(joined) <= limit, make(joined, out))
-                .when(
-                    cur != "",
-                    make(strip(F.concat(F.right(cur, F.lit(overlap)), F.lit("\n\n"), para)), F.array_append(out, cur)),
-                )
-                .otherwise(
-                    make(
-                        F.substr(para, F.lit(limit - overlap + 1)),
-                        F.array_append(out, F.substr(para, F.lit(1), F.lit(limit))),
-                    )
-                )
-            )
-
-        joined = F.when(state["cur"] != "", strip(F.concat(state["cur"], F.lit("\n\n"), para))).otherwise(para)
-        return let(joined, place)
+    def state(cur: Column, out: Column) -> Column:
+        return F.struct(cur.alias("cur"), out.alias("out"))
 
-    def pack(body: Column) -> Column:
-        paragraphs = F.filter(F.transform(F.split(body, "\n\n"), strip), lambda p: p != "")
-        start = F.struct(F.lit("").alias("cur"), F.array().cast("array<string>").alias("out"))
-        folded = F.aggregate(
-            paragraphs, start, add,
-            lambda s: F.when(s["cur"] != "", F.array_append(s["out"], s["cur"])).otherwise(s["out"]),
-        )
+    def add(s: Column, para: Column) -> Column:
+        cur, out = s["cur"], s["out"]
+        joined = F.when(cur != "", strip(F.concat(cur, F.lit("\n\n"), para))).otherwise(para)
         return (
-            F.when(body == "", F.array().cast("array<string>"))
-            .when(F.length(body) <= limit, F.array(body))
-            .otherwise(folded)
+            F.when(F.length(joined) <= limit, state(joined, out))
+            .when(cur != "", state(strip(F.concat(F.right(cur, F.lit(overlap)), F.lit("\n\n"), para)), F.array_append(out, cur)))
+            .otherwise(state(F.substr(para, F.lit(limit - overlap + 1)), F.array_append(out, F.substr(para, F.lit(1), F.lit(limit)))))
+        )
+
+    def fold(paragraphs: Column) -> Column:
+        n = F.size(paragraphs)
+        width = F.greatest(F.ceil(F.sqrt(n)).cast("int"), F.lit(1))
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(n - 1, F.lit(0)) / width).cast("int")), lambda k: F.slice(paragraphs, k * width + 1, width))
+        return F.aggregate(
+            blocks,
+            F.struct(F.lit("").alias("cur"), F.array().cast("array<array<string>>").alias("done")),
+            lambda s, block: let(
+                F.aggregate(block, state(s["cur"], none), add),
+                lambda b: F.struct(b["cur"].alias("cur"), F.array_append(s["done"], b["out"]).alias("done")),
+            ),
+            lambda s: F.flatten(F.array_append(s["done"], F.when(s["cur"] != "", F.array(s["cur"])).otherwise(none))),
         )
 
+    def pack(body: Column) -> Column:
+        paragraphs = F.filter(F.transform(F.split(body, "\n\n"), strip), lambda p: p != "")
+        return F.when(body == "", none).when(F.length(body) <= limit, F.array(body)).otherwise(let(paragraphs, fold))
+
     return let(strip(text), pack)
 
 
