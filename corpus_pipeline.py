@@ -26,7 +26,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the texts; all documents stay."""
-    return secret_scan.redact(docs, scratch_path(spark, "ledger"))
+    return secret_scan.redact(docs, secret_scan.ledger_of(spark, f"{sf_dir.rstrip('/')}/documents.parquet"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ the source's permuted blocks and order their blocks locally.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankwell.llm.common import n_plain_words
@@ -19,11 +19,6 @@ REPEATS = 3
 BUCKET = 50_000  # rows of a source whose running sum one task takes at a time
 
 
-def _uniform(*parts: str) -> str:
-    """A number in [0, 1) that depends on the parts alone."""
-    return f"((xxhash64({', '.join(parts)}) & 9007199254740991) / 9007199254740992D)"
-
-
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
     """(source, rank, n_rows, source_size, target, take, total) per source of (source, size) rows.
 
@@ -47,28 +42,27 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int =
     return rows.select("source", "rank", "n_rows", "source_size", "target", take.cast("bigint").alias("take"), "total")
 
 
+def _drawn(seed: int, *parts: str) -> Column:
+    """A random order of rows that depends on the parts alone: 128 bits of a hash, the same in any engine."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(p).cast("string") for p in parts]))
+
+
 def split_blocks(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
     """(shard, rank, quota) for 2**levels shards, from (rank, blocks) per source: the splitting tree.
 
-    A node holds its blocks per source. Its left child has half of them, drawn block by block without replacement: the
-    next block goes left with probability (places left on the left) / (blocks left), so the counts per source follow
-    the multivariate hypergeometric law exactly.
-    """
-    draw = f"""
-      aggregate(if(q[i] > 0, sequence(1L, q[i]), cast(array() AS array<bigint>)), named_struct('l', acc.l, 't', acc.t),
-        (a, j) -> if({_uniform(str(seed), 'node', 'i', 'j')} * a.t < a.l, named_struct('l', a.l - 1, 't', a.t - 1), named_struct('l', a.l, 't', a.t - 1)))
-    """
-    fold = f"""
-      aggregate(sequence(0, size(q) - 1), named_struct('l', half, 't', total, 'k', cast(array() AS array<bigint>)),
-        (acc, i) -> transform(array({draw}), d -> named_struct('l', d.l, 't', d.t, 'k', concat(acc.k, array(acc.l - d.l))))[0], acc -> acc.k)
+    A node holds its blocks per source. Its left child has half of them, the odd one included, drawn without
+    replacement: the node's blocks stand in a random order of which the first half goes left, so the counts per source
+    follow the multivariate hypergeometric law exactly. Only counts go down to the next level, where they are drawn
+    anew. A level has as many rows as the mix has blocks, a parameter, whatever the size of the corpus.
     """
-    nodes = quotas.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "blocks"))), lambda s: s["blocks"]).alias("q")).where("size(q) > 0").selectExpr("1L AS node", "q")
+    nodes = quotas.where("blocks > 0").selectExpr("1L AS node", "rank", "blocks AS quota")
+    inside = Window.partitionBy("node")
     for _ in range(levels):
-        nodes = nodes.selectExpr("node", "q", "aggregate(q, 0L, (x, y) -> x + y) AS total").selectExpr("node", "q", "total", "total DIV 2 + total % 2 AS half")
-        nodes = nodes.selectExpr("node", "q", f"{fold} AS k")
-        nodes = nodes.selectExpr("explode(array(named_struct('node', 2 * node, 'q', k), named_struct('node', 2 * node + 1, 'q', zip_with(q, k, (x, y) -> x - y)))) AS c")
-        nodes = nodes.selectExpr("c.node", "c.q")
-    return nodes.selectExpr(f"node - {1 << levels} AS shard", "posexplode(q) AS (rank, quota)")
+        blocks = nodes.select("node", "rank", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("quota").cast("bigint"))).alias("nth"))
+        blocks = blocks.withColumn("at", F.row_number().over(inside.orderBy(_drawn(seed, "node", "rank", "nth"), "rank", "nth"))).withColumn("n", F.count(F.lit(1)).over(inside))
+        child = F.expr("2 * node + if(at <= n DIV 2 + n % 2, 0, 1)")
+        nodes = blocks.groupBy(child.alias("node"), "rank").agg(F.count(F.lit(1)).alias("quota"))
+    return nodes.select((F.col("node") - (1 << levels)).alias("shard"), "rank", "quota")
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", levels: int = 4, blocks: int = 4096, seed: int = 7,
@@ -104,10 +98,10 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     per_source = goals.select("rank", "take", F.greatest(F.lit(1), F.ceil(F.col("total") / blocks)).alias("width")).select("rank", F.ceil(F.col("take") / F.col("width")).alias("blocks"))
     shards = split_blocks(per_source, levels, seed)
     runs = shards.withColumn("end", F.sum("quota").over(Window.partitionBy("rank").orderBy("shard"))).select(F.col("rank").alias("r"), "shard", F.col("end") - F.col("quota") + 1, "end").toDF("r", "shard", "begin", "end")
-    permuted = Window.partitionBy("rank").orderBy(F.expr(f"xxhash64({seed}, rank, block)"), "block")
+    permuted = Window.partitionBy("rank").orderBy(_drawn(seed, "rank", "block"), "block")
     drawn = per_source.where("blocks > 0").select("rank", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).withColumn("at", F.row_number().over(permuted))
     drawn = drawn.join(runs, F.expr("rank = r AND at BETWEEN begin AND end"))
-    local = Window.partitionBy("shard").orderBy(F.expr(f"xxhash64({seed} + 1, shard, rank, block)"), "rank", "block")
+    local = Window.partitionBy("shard").orderBy(_drawn(seed + 1, "shard", "rank", "block"), "rank", "block")
     drawn = drawn.select(F.col("rank").alias("_r"), F.col("block").alias("_b"), "shard", (F.row_number().over(local) - 1).alias("position"))
 
     readings = F.expr(f"""filter(transform(sequence(0, {repeats - 1}), e -> named_struct('epoch', e, 'at', e * source_size + start, 'to', least(take, e * source_size + start + size))),
@@ -121,3 +115,17 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         "doc_id", "source", "size", "source_size", "target", "place", "shard", "position", F.col("r.epoch").alias("epoch"),
         (low - F.col("r.at")).alias("first_word"), F.coalesce(F.when(F.col("shard").isNotNull(), high - low), F.lit(0)).cast("bigint").alias("n_words"),
     )
+
+
+def by_document(pieces: DataFrame) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, n_shards, n_pieces, spans_sha256) per row that ``mix`` was given.
+
+    The digest is that of ``shard:position:epoch:first_word:n_words`` of every piece, by epoch and first word, joined by
+    commas. A row has at most ``repeats`` times (its blocks + 1) pieces, which the number of blocks of the mix bounds.
+    """
+    span = F.struct("epoch", "first_word", F.concat_ws(":", "shard", "position", "epoch", "first_word", "n_words").alias("s"))
+    per_doc = pieces.groupBy("place", "doc_id", "size", "source_size", "target").agg(
+        F.sum("n_words").alias("taken"), F.count_distinct("shard").alias("n_shards"), F.count("shard").alias("n_pieces"),
+        F.sort_array(F.collect_list(F.when(F.col("shard").isNotNull(), span))).alias("spans"),
+    )
+    return per_doc.select("doc_id", "size", "source_size", "target", "taken", "n_shards", "n_pieces", F.sha2(F.array_join("spans.s", ","), 256).alias("spans_sha256"))

@@ -38,11 +38,17 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = mixing.mix(table(spark, sf_dir, "documents"))
-    per_doc = pieces.groupBy("place", "doc_id", "size", "source_size", "target").agg(F.sum("n_words").alias("taken"))
-    return per_doc.select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.by_document(mixing.mix(table(spark, sf_dir, "documents")))
 
 
+# One level of the splitting tree: the first half of a node's blocks, in random order, goes to its left child.
+_TREE = "".join(f"""
+d{n} AS (
+  SELECT node, rank, row_number() OVER (PARTITION BY node ORDER BY md5(concat_ws('|', 7, node, rank, nth)), rank, nth) AS nr, count(*) OVER (PARTITION BY node) AS n
+  FROM (SELECT node, rank, unnest(range(1, quota + 1)) AS nth FROM q{n})),
+q{n + 1} AS (SELECT 2 * node + (nr > n // 2 + n % 2)::INT AS node, rank, count(*) AS quota FROM d{n} GROUP BY ALL),
+""" for n in range(4))
+
 ORACLES["op5_mixing"] = """
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
@@ -55,15 +61,37 @@ filled AS (
     ((SELECT sum(source_size) FROM weighed) - coalesce(sum(cap) OVER (ORDER BY cap / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / ((SELECT sum(w) FROM weighed) - coalesce(sum(w) OVER (ORDER BY cap / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
   FROM weighed),
-goals AS (SELECT *, least(cap, w * (SELECT level FROM filled WHERE level <= c ORDER BY c, rank LIMIT 1)) AS target FROM filled),
+goals AS (
+  SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS take, CAST(greatest(1, ceil(total / 4096)) AS BIGINT) AS width
+  FROM (SELECT *, least(cap, w * (SELECT level FROM filled WHERE level <= c ORDER BY c, rank LIMIT 1)) AS target, sum(source_size) OVER () AS total FROM filled)),
+q0 AS (SELECT CAST(1 AS BIGINT) AS node, rank, CAST(ceil(take / width) AS BIGINT) AS quota FROM goals WHERE take > 0),
+""" + _TREE + """runs AS (SELECT *, CAST(sum(quota) OVER (PARTITION BY rank ORDER BY node) AS BIGINT) AS stop FROM q4),
+permuted AS (
+  SELECT rank, block, row_number() OVER (PARTITION BY rank ORDER BY md5(concat_ws('|', 7, rank, block)), block) AS nr
+  FROM (SELECT rank, unnest(range(quota)) AS block FROM q0)),
+drawn AS (
+  SELECT p.rank, p.block, r.node - 16 AS shard,
+    row_number() OVER (PARTITION BY r.node ORDER BY md5(concat_ws('|', 8, r.node - 16, p.rank, p.block)), p.rank, p.block) - 1 AS position
+  FROM permuted p JOIN runs r ON p.rank = r.rank AND p.nr > r.stop - r.quota AND p.nr <= r.stop),
 tape AS (
-  SELECT d.doc_id, d.size, g.source_size, g.target, CAST(floor(g.target + 0.5) AS BIGINT) AS take,
+  SELECT row_number() OVER () AS place, d.doc_id, d.size, g.rank, g.source_size, g.target, g.take, g.width,
          CAST(sum(d.size) OVER (PARTITION BY g.rank ORDER BY d.k, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS start
-  FROM sized d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-  CAST(greatest(0, least(take, start + size) - start) + greatest(0, least(take, source_size + start + size) - source_size - start)
-    + greatest(0, least(take, 2 * source_size + start + size) - 2 * source_size - start) AS BIGINT) AS taken
-FROM tape
+  FROM sized d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source),
+readings AS (
+  SELECT *, e * source_size + start AS first, least(take, e * source_size + start + size) AS stop
+  FROM tape, (SELECT unnest([0, 1, 2]) AS e) WHERE e * source_size + start < least(take, e * source_size + start + size)),
+cut AS (SELECT *, unnest(range(first // width, (stop - 1) // width + 1)) AS block FROM readings),
+pieces AS (
+  SELECT c.place, d.shard, d.position, c.e, greatest(c.first, c.block * c.width) - c.first AS word,
+         least(c.stop, (c.block + 1) * c.width) - greatest(c.first, c.block * c.width) AS n
+  FROM cut c JOIN drawn d ON c.rank = d.rank AND c.block = d.block),
+taken AS (
+  SELECT place, CAST(sum(n) AS BIGINT) AS taken, count(DISTINCT shard) AS n_shards, count(*) AS n_pieces,
+         sha256(string_agg(concat_ws(':', shard, position, e, word, n), ',' ORDER BY e, word)) AS spans_sha256
+  FROM pieces GROUP BY place)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, coalesce(taken, 0) AS taken, coalesce(n_shards, 0) AS n_shards,
+       coalesce(n_pieces, 0) AS n_pieces, coalesce(spans_sha256, sha256('')) AS spans_sha256
+FROM tape LEFT JOIN taken USING (place)
 """
 
 
@@ -74,7 +102,7 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_scan.scan(table(spark, sf_dir, "documents"), scratch_path(spark, "ledger"))
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.ledger_of(spark, f"{sf_dir.rstrip('/')}/documents.parquet"))
     base = tuple(r.kind for r in secret_scan.BASE_RULES)
     every = tuple(r.kind for r in secret_scan.RULES)
     n = lambda kind: F.size(F.filter("findings", lambda f: f["rule"] == kind)).cast("bigint")

@@ -7,16 +7,17 @@ back to all paths that ever held the blob.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankwell.llm.common import free_name
-from rankwell.runtime import durable, small_side
+from rankwell.runtime import checkpoint_dir, durable, small_side
 
 FINDINGS = "array<struct<rule:string, version:int, start:int, stop:int>>"
 LEDGER_SCHEMA = f"blob binary, rules array<string>, findings {FINDINGS}"
@@ -96,12 +97,19 @@ def _update(versions: DataFrame, ledger_path: str, text: str, path: str, rules:
     seen = ledger.select("blob", F.explode("rules").alias("r")).where(F.col("r").isin([r.name for r in rules]))
     seen = seen.groupBy("blob").agg(F.collect_set("r").alias("seen"))  # at most one entry per current rule
 
-    # What isn't the plain case of an unseen blob held once: while this is small, no text needs to be shuffled.
-    special = held.join(seen, "blob", "left").where("copies > 1 OR seen IS NOT NULL").select("blob", "at", "seen")
-    todo = rows.join(small_side(special), "blob", "left").where("at IS NULL OR path = at")
+    # A first run has few blobs that need not be scanned where they stand, a later one few that still need it: the rarer
+    # side meets the rows, so that no text is shuffled while that side is small.
     missing = F.when(F.col("seen").isNull(), names).otherwise(F.array_except(names, F.col("seen")))
-    todo = todo.select("blob", "content", missing.alias("rules")).where("size(rules) > 0")
-    todo.select("blob", "rules", _scan(rules)("content", "rules").alias("findings")).write.mode("append").parquet(ledger_path)
+    held = durable(held.join(seen, "blob", "left").select("blob", "at", "copies", missing.alias("rules"), (F.col("copies") > 1) | F.col("seen").isNotNull()).toDF("blob", "at", "copies", "rules", "special"))
+    special, pending = held.where("special").select("blob", "at", "rules"), held.where("size(rules) > 0").select("blob", "at", "rules")
+    n_special, n_pending = held.agg(F.count_if("special"), F.count_if(F.size("rules") > 0)).first()
+    if n_special <= n_pending:
+        todo = rows.join(small_side(special), "blob", "left").withColumn("rules", F.coalesce("rules", names))
+    else:
+        todo = rows.join(small_side(pending), "blob")
+    todo = todo.where("(at IS NULL OR path = at) AND size(rules) > 0").select("blob", "content", "rules")
+    if n_pending:
+        todo.select("blob", "rules", _scan(rules)("content", "rules").alias("findings")).write.mode("append").parquet(ledger_path)
 
     found = read_ledger(spark, ledger_path).where("size(findings) > 0").select("blob", F.explode("findings").alias("f"))
     found = found.where(F.concat_ws("@", "f.rule", "f.version").isin([r.name for r in rules]))
@@ -123,6 +131,12 @@ def scan(versions: DataFrame, ledger_path: str, text: str = "text", path: str =
     return index.join(found, "blob", "left").select("path", "blob", F.coalesce("findings", F.expr(f"cast(array() AS {FINDINGS})")).alias("findings"))
 
 
+def ledger_of(spark: SparkSession, table_path: str) -> str:
+    """The ledger that goes with a table: a folder in the shared location that stays from run to run."""
+    name = hashlib.sha256(table_path.rstrip("/").encode()).hexdigest()[:32]
+    return f"{checkpoint_dir(spark).rstrip('/')}/ledger-{name}"
+
+
 def read_ledger(spark, ledger_path: str) -> DataFrame:
     """The ledger so far; empty if nothing has been written there."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(ledger_path)

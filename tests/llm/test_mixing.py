@@ -1,3 +1,4 @@
+import hashlib
 from collections import defaultdict
 
 import pytest
@@ -72,6 +73,24 @@ def test_pieces_cover_targets_once(documents, prose, odd):
     pieces.unpersist()
 
 
+def test_rows_by_document_hold_what_the_tree_dealt(documents, prose, monkeypatch):
+    rows = [(i, prose(5 + i % 40, i)) for i in range(60)]
+    docs = documents(rows, source=lambda n: "aab"[n % 3])
+    pieces = M.mix(docs, levels=2, blocks=32).cache()
+    by_doc = {r.doc_id: r for r in M.by_document(pieces).collect()}
+    spans = defaultdict(list)
+    for r in pieces.where("shard IS NOT NULL").orderBy("epoch", "first_word").collect():
+        spans[r.doc_id].append((r.shard, f"{r.shard}:{r.position}:{r.epoch}:{r.first_word}:{r.n_words}", r.n_words))
+    for i, _ in rows:
+        assert by_doc[i].spans_sha256 == hashlib.sha256(",".join(s for _, s, _ in spans[i]).encode()).hexdigest()
+        assert (by_doc[i].n_pieces, by_doc[i].n_shards, by_doc[i].taken) == (len(spans[i]), len({s for s, _, _ in spans[i]}), sum(n for *_, n in spans[i]))
+    # a tree that deals one source's blocks to nobody leaves its words out: quotas decide what is taken
+    whole = M.split_blocks
+    monkeypatch.setattr(M, "split_blocks", lambda *a: whole(*a).where("rank != 0"))
+    assert {r.source for r in M.mix(docs, levels=2, blocks=32).where("n_words > 0").collect()} == {"b"}
+    pieces.unpersist()
+
+
 def test_empty_tables(documents):
     assert M.mix(documents([])).count() == 0
     out = M.mix(documents([(1, None), (2, ""), (None, " ")])).collect()

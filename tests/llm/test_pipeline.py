@@ -65,7 +65,7 @@ def test_stages_equal_plain_python(spark):
 COLUMNS = {
     "op1_toxicity": "doc_id held_out score predicted", "op2_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
     "op3_quality_classifier": "doc_id held_out score predicted", "op4_url_filters": "page_id host path rule verdict",
-    "op5_mixing": "doc_id size source_size target taken", "op6_minhash_dedup": "doc_id n_shingles component_id kept",
+    "op5_mixing": "doc_id size source_size target taken n_shards n_pieces spans_sha256", "op6_minhash_dedup": "doc_id n_shingles component_id kept",
     "op7_license_scan": "doc_id n_words n_base first_word last_word base_labels labels score", "op8_secret_scan": "doc_id n_assign n_access n_hex base_sha256 spans",
     "op9_warc": "page_id payload_bytes payload_digest record_type refers_to", "op10_decontamination": "doc_id item_id",
     "op11_token_alignment": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256", "op12_token_counts": "doc_id n_bytes n_tokens over_limit",

@@ -72,6 +72,23 @@ def test_redaction_leaves_columns_of_any_name_alone(documents, spark):
     assert S.redact(documents([]), scratch_path(spark, "ledger")).count() == 0
 
 
+def test_a_second_run_scans_only_what_is_new(documents, spark):
+    ledger = S.ledger_of(spark, f"/a/{id(spark)}/documents.parquet")
+    assert ledger == S.ledger_of(spark, f"/a/{id(spark)}/documents.parquet/") != S.ledger_of(spark, "/b/documents.parquet")
+    first = S.scan(documents(TEXTS), ledger)
+    files = set(S.read_ledger(spark, ledger).inputFiles())
+    row = lambda r: (str(r.path), sorted(map(tuple, r.findings)))
+    again = S.scan(documents(TEXTS), ledger)
+    assert sorted(map(row, again.collect())) == sorted(map(row, first.collect()))
+    assert set(S.read_ledger(spark, ledger).inputFiles()) == files  # nothing was scanned
+    before = S.read_ledger(spark, ledger).count()
+    more = [*TEXTS, (20, 'password = "abcdefghijklmnop"'), (21, 'password = "abcdefghijklmnop"'), (None, "token: nothing")]
+    out = {r.path: sorted(map(tuple, r.findings)) for r in S.scan(documents(more), ledger).collect() if r.path in (20, 21)}
+    assert out[20] == out[21] and [f[0] for f in out[20]] == ["assign"]
+    assert S.read_ledger(spark, ledger).count() == before + 2  # one entry for the copies, one for the row without a path
+    assert sorted(map(str, (r.text for r in S.redact(documents(TEXTS), ledger).collect()))) == sorted(map(str, (r.text for r in S.redact(documents(TEXTS), scratch_path(spark, "ledger")).collect())))
+
+
 def test_empty_table(documents, spark):
     assert S.scan(documents([]), scratch_path(spark, "ledger")).count() == 0
 
