@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankwell.operators import ranking as K
+from rankwell.operators.retrieval import cosine_scores, topk_chunks
 from rankwell.plans.catalog import Tables, query, view
 from rankwell.plans.scoring import req_scores, totals
 from rankwell.runtime import scratch_path
@@ -97,6 +98,18 @@ def _(t: Tables):
     return W.read_chunk_table(t.spark, base).select("role", "candidate_id", "chunk_id", "embedding")
 
 
+@query(
+    "bucketed_evidence",
+    """SELECT role, candidate_id, req_id, sq_pos, chunk_id, rank, round(cosine, 6) AS cosine FROM {scored_topk}""",
+)
+def _(t: Tables):
+    """The best chunks per sub-query out of a table bucketed by candidate, with no exchange of chunks."""
+    path = scratch_path(t.spark, "bucketed")
+    chunks = t.chunk_vectors.select("role", "candidate_id", "chunk_id", "embedding")
+    stored = W.save_bucketed_chunks(chunks, path.rpartition("/")[2].replace("-", "_"), path, buckets=16)
+    return topk_chunks(cosine_scores(stored, t.sub_queries)).withColumn("cosine", F.round("cosine", 6))
+
+
 @query(
     "export_ranked",
     """SELECT r.role, r.candidate_id, r.rank, r.total, count(*) AS n_reqs, min(req_id) AS first_req, round(sum(contribution), 4) AS sum_contribution

@@ -33,6 +33,20 @@ def read_chunk_table(spark: SparkSession, base: str, version: int | None = None)
     return spark.read.parquet(f"{base}/version={version}")
 
 
+def save_bucketed_chunks(chunks: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
+    """Text and vectors of all chunks as a table of the catalog at ``path``, bucketed and sorted by candidate.
+
+    What groups, ranks or caps the chunks of a candidate then needs no exchange of them: the scan already has each
+    candidate in one task. Choose ``buckets`` for the size of the table, a few hundred MB to each. A chunk without a
+    vector fails the job; an existing table of that name stays and is an error. Sessions with a shared catalog find the
+    table by its name.
+    """
+    whole = F.assert_true(F.col("embedding").isNotNull(), F.concat(F.lit("no vector for chunk "), F.col("chunk_id").cast("string")))
+    rows = chunks.filter(whole.isNull()).repartition(buckets, "candidate_id")  # one file to a bucket
+    rows.write.bucketBy(buckets, "candidate_id").sortBy("candidate_id", "chunk_id").option("path", path).mode("errorifexists").saveAsTable(table)
+    return chunks.sparkSession.table(table)
+
+
 def export_ranked(ranked: DataFrame, req_scores: DataFrame, summary: DataFrame, base: str) -> None:
     """Per role: one summary record and one record per candidate with its requirement breakdown, as JSON.
 

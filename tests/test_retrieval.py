@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankwell.operators import retrieval as R
+from rankwell.sources.writers import save_bucketed_chunks
 
 
 def axis(i, size=4, extra=0.0):
@@ -112,3 +113,22 @@ def test_a_requirement_without_sub_queries_is_asked_by_its_name(spark, scored):
     assert {r.total for r in R.cosine_baseline_rank(lone, queries, weights, names).collect()} == {37.5}
     assert {r.total for r in R.cosine_baseline_rank(chunks, queries, weights, names).collect()} == {100.0}
     assert {r.total for r in R.cosine_baseline_rank(chunks, queries, weights).collect()} == {75.0}
+
+
+def test_evidence_of_a_bucketed_table_needs_no_exchange_of_chunks(spark, scored, tmp_path):
+    chunks, queries = scored
+    table = save_bucketed_chunks(chunks.withColumn("text", F.lit("t")), "chunks_by_candidate", str(tmp_path / "chunks"), 4)
+    try:
+        flat, bucketed = R.cosine_scores(chunks, queries), R.cosine_scores(table, queries)
+        for evidence in (lambda c: R.topk_chunks(c, 2), lambda c: R.threshold_chunks(c, -1.0, 2), lambda c: R.union_dedup_topk(c, queries, 3, 2)):
+            plan = evidence(bucketed)._jdf.queryExecution().executedPlan().toString()
+            assert "Bucketed: true" in plan and "Exchange hashpartitioning" not in plan
+            assert "Exchange hashpartitioning" in evidence(flat)._jdf.queryExecution().executedPlan().toString()
+            assert "text" not in plan  # columns that decide nothing are not read
+            assert sorted(map(str, evidence(bucketed).collect())) == sorted(map(str, evidence(flat).collect()))
+        with pytest.raises(Exception, match="already exists"):
+            save_bucketed_chunks(chunks, "chunks_by_candidate", str(tmp_path / "other"), 4)
+    finally:
+        spark.sql("DROP TABLE chunks_by_candidate")
+    with pytest.raises(Exception, match="no vector for chunk"):
+        save_bucketed_chunks(chunks.withColumn("embedding", F.lit(None).cast("array<float>")), "chunks_without", str(tmp_path / "none"), 4)
