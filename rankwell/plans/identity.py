@@ -9,13 +9,14 @@ from rankwell.plans.catalog import Tables, query, view
 
 AS_OF = "2024-02-01 00:00:00"
 
-# Labelled documents are registered already; every document is seen in this run.
+# Numbers have four digits or more: lpad alone would cut longer ones. Labelled documents are registered already; every document is seen in this run.
 view("doc_paths", "SELECT concat('/data/', source, '/', CAST(doc_id AS STRING), '.json') AS source_path, source AS role, doc_id FROM {documents}")
 view(
     "registry",
-    """SELECT p.source_path, role, concat(role, '_CAND_', lpad(CAST(row_number() OVER (PARTITION BY role ORDER BY p.doc_id) AS STRING), 4, '0')) AS candidate_id,
+    """SELECT source_path, role, concat(role, '_CAND_', lpad(n, CAST(greatest(4, length(n)) AS INT), '0')) AS candidate_id,
               CAST('2024-01-01 00:00:00' AS TIMESTAMP) AS allocated_at, CAST('2024-01-01 00:00:00' AS TIMESTAMP) AS last_seen_at
-       FROM {doc_paths} p JOIN {labels} l ON p.doc_id = l.doc_id""",
+       FROM (SELECT p.source_path, role, CAST(row_number() OVER (PARTITION BY role ORDER BY p.doc_id) AS STRING) AS n
+             FROM {doc_paths} p JOIN {labels} l ON p.doc_id = l.doc_id) x""",
 )
 view("seen_paths", "SELECT source_path, role FROM {doc_paths} WHERE role <> 'src3'")
 
@@ -24,7 +25,7 @@ view("seen_paths", "SELECT source_path, role FROM {doc_paths} WHERE role <> 'src
     "allocate_ids",
     """SELECT r.source_path, r.role, candidate_id, allocated_at, CASE WHEN s.source_path IS NULL THEN last_seen_at ELSE TIMESTAMP '2024-02-01 00:00:00' END AS last_seen_at
        FROM {registry} r LEFT JOIN {seen_paths} s ON r.source_path = s.source_path
-       UNION ALL SELECT source_path, n.role, n.role || '_CAND_' || lpad(CAST(coalesce(base, 0) + i AS VARCHAR), 4, '0'), TIMESTAMP '2024-02-01 00:00:00', TIMESTAMP '2024-02-01 00:00:00'
+       UNION ALL SELECT source_path, n.role, n.role || '_CAND_' || printf('%04d', coalesce(base, 0) + i), TIMESTAMP '2024-02-01 00:00:00', TIMESTAMP '2024-02-01 00:00:00'
        FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY source_path) AS i FROM {seen_paths} s WHERE NOT EXISTS (SELECT 1 FROM {registry} r WHERE r.source_path = s.source_path)) n
        LEFT JOIN (SELECT role, max(CAST(split_part(candidate_id, '_CAND_', 2) AS BIGINT)) AS base FROM {registry} GROUP BY role) b ON b.role = n.role""",
 )
@@ -134,7 +135,7 @@ def _(t: Tables):
 
 
 # Customers ranked by balance in their segment; a conversation turn asks for ranks, numbers and names.
-view("customer_totals", "SELECT c_mktsegment AS role, c_custkey AS key, concat(c_mktsegment, '_CAND_', lpad(CAST(c_custkey AS STRING), 4, '0')) AS candidate_id, lower(c_name) AS name, c_acctbal AS total FROM {customer}")
+view("customer_totals", "SELECT c_mktsegment AS role, c_custkey AS key, concat(c_mktsegment, '_CAND_', lpad(CAST(c_custkey AS STRING), CAST(greatest(4, length(CAST(c_custkey AS STRING))) AS INT), '0')) AS candidate_id, lower(c_name) AS name, c_acctbal AS total FROM {customer}")
 view("customer_ranks_o", spark="SELECT 1", oracle="SELECT *, row_number() OVER (PARTITION BY role ORDER BY total DESC, key) AS rank FROM {customer_totals}")
 view(
     "asked",
