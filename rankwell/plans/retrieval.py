@@ -53,9 +53,10 @@ def scored(t: Tables):
     return R.cosine_scores(t.chunk_vectors, t.sub_queries)
 
 
+# A tiny negative number rounds to zero, never to minus zero.
 @query(
     "l2_normalize",
-    f"SELECT chunk_id, list_transform({_UNIT.format(c='embedding')}, lambda x: round(x, 6)) AS unit "
+    f"SELECT chunk_id, list_transform({_UNIT.format(c='embedding')}, lambda x: round(x, 6) + 0.0) AS unit "
     "FROM {chunk_vectors}",
 )
 def _(t: Tables):
