@@ -86,3 +86,14 @@ def test_saving_a_role_keeps_the_others_and_half_written_versions_are_skipped(sp
         writers.write_chunk_table(chunks.withColumn("v", F.lit(version)), str(tmp_path / "chunks"), version)
     (tmp_path / "chunks/version=10/_SUCCESS").unlink()
     assert writers.read_chunk_table(spark, str(tmp_path / "chunks")).first().v == 2
+
+
+def test_rows_lacking_evidence_are_those_the_block_rules_name(spark):
+    reqs = spark.createDataFrame([("r", "a", 40.0, "skill"), ("r", "edu", 20.0, "education"), ("r", "unasked", 9.0, "skill"), ("r", "c", 5.0, None)], "role string, req_id string, weight_pct double, req_type string")
+    asked = spark.createDataFrame([("r", q, k) for q in ("a", "edu", "c") for k in "xy"], "role string, req_id string, sq_key string")
+    found = spark.createDataFrame([("r", 1, "a"), ("r", 1, "a"), ("r", 2, "c")], KEYS)
+    people = spark.createDataFrame([("r", 1), ("r", 2), ("r", 3)], "role string, candidate_id int")
+    got = sorted(map(tuple, scoring.lacking_evidence(people, reqs, asked, found).collect()))
+    rules = scoring.apply_block_rules(people, reqs, asked, found, spark.createDataFrame([], KEYS + ", sub_score double"))
+    want = rules.where("reason = 'no_evidence'").select("role", "candidate_id", "req_id", "reason")
+    assert got == sorted(map(tuple, want.collect())) and len(got) == 4
