@@ -35,7 +35,7 @@ def n_plain_words(text: Column) -> Column:
 class WordHashes(dict):
     """64-bit hashes of the words seen lately; emptied when it grows beyond a bound."""
 
-    LIMIT = 1_000_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         value = self[word] = xxhash.xxh3_64_intdigest(word)

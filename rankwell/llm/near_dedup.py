@@ -24,6 +24,7 @@ DIRECT = 16  # classes in a bucket whose components are compared pair by pair
 PAIRS = 3  # per class of the corpus, up to which all pairs left are compared directly
 DEPTH = 4  # times that large buckets are made finer; what is left then is compared pair by pair
 BLOCK = 512  # shingles whose coordinates are computed at a time
+SLICE = 500  # texts that a task holds as Python objects, of an Arrow batch that may have 10,000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SHIFTS = np.arange(BANDS * ROWS, dtype=np.uint32)[:, None]
@@ -91,10 +92,17 @@ def _class(words: list[bytes]) -> bytes | None:
     return hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches, a few at a time; an empty batch has none."""
+    for batch in batches:
+        for at in range(0, len(batch), SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def _sign(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, none = WordHashes(), np.empty(0, np.int64)
-        for batch in batches:
+        for batch in _slices(batches):
             classes, counts, bands = [], [], []
             for text in batch.column("text").to_pylist():
                 words = words_of(text)
@@ -111,7 +119,7 @@ def _sign(size: int):
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in _slices(batches):
             words = [words_of(text) for text in batch.column("text").to_pylist()]
             sets = [shingle_set(w, hashes, size).view(np.int64) for w in words]
             yield pa.RecordBatch.from_arrays([pa.array(map(_class, words), pa.binary()), _lists(sets)], ["class", "shingles"])
