@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rankwell.functions import matching as M
 from rankwell.functions.bands import binary_score, grade_band, has_any, tier_band
 from rankwell.operators.ranking import top_rows
-from rankwell.runtime import durable, small_side
+from rankwell.runtime import durable, small_side, tasks_for
 
 # Other words for a requirement. Entries holding \b are patterns, all others literal phrases.
 SYNONYMS = {
@@ -105,14 +105,19 @@ def degree_match(degrees: DataFrame, reqs: DataFrame) -> DataFrame:
     """Per candidate and education requirement: does any degree satisfy it, and which first.
 
     ``degrees``: role, candidate_id, pos, degree, institution; ``reqs``: role, req_id, req_name. Each distinct
-    degree text of a role meets each requirement name once; candidates are then looked up.
+    degree text of a role meets each requirement name once; candidates are then looked up, in as many tasks as their
+    degrees times requirements need.
     """
-    texts = degrees.select("role", "degree").distinct().join(reqs.select("role", "req_name").distinct(), "role")
+    held = durable(degrees.groupBy("role", "degree").agg(F.count(F.lit(1)).alias("_n")))
+    asked = reqs.groupBy("role").agg(F.count(F.lit(1)).alias("_m"))
+    rows = held.join(asked, "role").agg(F.coalesce(F.sum(F.col("_n") * F.col("_m")), F.lit(0))).first()[0]
+    texts = held.drop("_n").join(reqs.select("role", "req_name").distinct(), "role")
     direct = M.phrase_match(F.col("req_name"), F.col("degree")) | M.phrase_match(F.col("degree"), F.col("req_name"))
     generic = has_any(F.lower("req_name"), M.GENERIC_DEGREE)
     verdicts = texts.select("role", "degree", "req_name", direct.alias("_direct"), generic.alias("_generic"))
     return (
-        degrees.join(small_side(verdicts), ["role", "degree"])
+        degrees.repartition(tasks_for(degrees.sparkSession, rows), "role", "candidate_id")
+        .join(small_side(verdicts), ["role", "degree"])
         .join(small_side(reqs.select("role", "req_id", "req_name")), ["role", "req_name"])
         .groupBy("role", "candidate_id", "req_id")
         .agg(
