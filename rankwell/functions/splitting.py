@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +17,7 @@ from rankwell.functions.text import DATES, strip, strip_chars
 PACK_CHARS, PACK_OVERLAP = 1200, 120
 SIZE_RANGE = (500, 1000)
 SEPARATORS = ("\n\n", "\n", ". ", " ")
+GROUP = 1 << 20  # bytes of texts that a Python worker splits together
 
 
 def pack_paragraphs(text: Column, limit: int = PACK_CHARS, overlap: int = PACK_OVERLAP) -> Column:
@@ -88,11 +93,19 @@ def _led(tail: str, piece: str) -> str:
     return (tail + gap + piece).strip()
 
 
+def slices(texts: pa.Array, limit: int) -> Iterator[pa.Array]:
+    """A batch of texts in consecutive parts of about ``limit`` bytes; a longer text ends its part."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) // limit
+    stops = [*(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(texts)]
+    for start, stop in zip([0, *stops], stops):
+        yield texts.slice(start, stop - start)
+
+
 def recursive_split(size: int = 1000, overlap: int = 500, separators: tuple[str, ...] = SEPARATORS):
     """An Arrow-batched function of a text column to its overlapping pieces.
 
     The size lies in 500..1000 and the overlap in 50..60 % of it. Pieces fit the size before each is led by
-    the end of its predecessor.
+    the end of its predecessor. A worker holds the pieces of few texts at a time, however many a batch has.
     """
     low, high = SIZE_RANGE
     if not low <= size <= high:
@@ -100,11 +113,14 @@ def recursive_split(size: int = 1000, overlap: int = 500, separators: tuple[str,
     if not size * 50 // 100 <= overlap <= size * 60 // 100:
         raise ValueError(f"overlap must be 50 to 60 percent of {size}, got {overlap}")
 
-    def split(texts: pd.Series) -> pd.Series:
-        trimmed = (t.strip() if isinstance(t, str) else "" for t in texts)
-        return pd.Series([_pieces(t, size, overlap, separators) if t else [] for t in trimmed])
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            for part in slices(texts, GROUP):
+                trimmed = ((t or "").strip() for t in part.to_pylist())
+                yield pa.array([_pieces(t, size, overlap, separators) if t else [] for t in trimmed], pa.list_(pa.string()))
 
-    return F.pandas_udf(split, T.ArrayType(T.StringType()))
+    return split
 
 
 _ENTRY = "struct<title:string,company:string,dates:string,location:string,details:array<string>>"

@@ -1,8 +1,10 @@
 """Tasks that sort or group hold a bounded number of rows, however large the table is."""
 
+import pyarrow as pa
 import pytest
 
 from rankwell import runtime
+from rankwell.functions import splitting
 from rankwell.operators import matching as M
 
 
@@ -25,3 +27,11 @@ def test_degree_match_counts_degrees_times_requirements(spark, fifty_rows):
     assert len(rows) == 200
     assert rows[7, 1] == (True, "Executive MBA", "school 107") and rows[7, 2] == (False, None, None)
     assert M.degree_match(degrees.limit(0), reqs).count() == 0
+
+
+def test_a_batch_of_texts_is_split_a_few_at_a_time():
+    texts = pa.array(["a" * 30, None, "", "b" * 90, "c"] * 20)
+    parts = list(splitting.slices(texts, 100))
+    assert pa.concat_arrays(parts).equals(texts)
+    assert max(len("".join(t or "" for t in p.to_pylist())) for p in parts) <= 190
+    assert [len(p) for p in splitting.slices(texts.slice(0, 0), 100)] == [0]
