@@ -5,7 +5,7 @@ import pytest
 
 from rankwell import runtime
 from rankwell.functions import splitting
-from rankwell.operators import matching as M
+from rankwell.operators import evaluation as V, matching as M
 
 
 def plan(df) -> str:
@@ -29,6 +29,16 @@ def test_degree_match_counts_degrees_times_requirements(spark, fifty_rows):
     assert M.degree_match(degrees.limit(0), reqs).count() == 0
 
 
+def test_judge_total_counts_its_rows(spark, fifty_rows):
+    judge = spark.range(1000).selectExpr("'r' AS role", "id % 50 AS candidate_id", "CAST(id % 4 AS INT) AS req_id", "0.5D AS sub_score")
+    weights = spark.createDataFrame([("r", 0, 10.0), ("r", 2, 30.0)], "role string, req_id int, weight_pct double")
+    explicit = spark.createDataFrame([("r", 4, 0, 20.0), ("r", 999, 0, 1.0)], "role string, candidate_id long, req_id int, sub_score_sum double")
+    totals = V.judge_total(judge, weights, explicit)
+    assert plan(totals).count(", 20), REPARTITION_BY_NUM") == 2
+    rows = {r.candidate_id: r.judge_total for r in totals.collect()}
+    assert rows[0] == 20.0 and rows[4] == 10 * 20.0 / 10 + 15.0 and 1 not in rows and 999 not in rows
+
+
 def test_a_batch_of_texts_is_split_a_few_at_a_time():
     texts = pa.array(["a" * 30, None, "", "b" * 90, "c"] * 20)
     parts = list(splitting.slices(texts, 100))
