@@ -25,6 +25,7 @@ from rankwell.llm.bpe import ByteBpe, Encoder, chunks, split
 
 WORK = 1 << 15  # steps of the merge in a piece
 GROUP = 400_000  # characters of texts that are aligned together
+BATCH = 1000  # rows of an Arrow batch, for queries that write what ``align`` gives
 REMEMBERED = 300_000  # pieces of text whose tokens a worker keeps, for each tokenizer
 MAX_PAIRS = 2_000_000  # pairs of ids that can be linked at all, up to which their counts are broadcast
 FIELDS = ["a_ids", "b_ids", "a_cuts", "b_cuts", "links"]
@@ -183,13 +184,14 @@ def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text", into: s
     """
     bpe = ByteBpe.load(a_path)
     with open(b_path, "rb") as file:
-        shipped = docs.sparkSession.sparkContext.broadcast(((a_path, b_path), bpe, bpe.whole, file.read()))
+        shipped = docs.sparkSession.sparkContext.broadcast((bpe, bpe.whole, file.read()))
     kind, made = then or (SCHEMA, lambda rows: rows)
 
     @F.arrow_udf(kind)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        names, a, whole, model = shipped.value
-        if names not in _READY:
+        names = (a_path, b_path)
+        if names not in _READY:  # else what was broadcast isn't even opened: a worker would keep it a second time
+            a, whole, model = shipped.value
             _READY[names] = (a, Encoder(a.encode_pieces, whole, REMEMBERED), Pieces(model))
         for column in batches:
             # Small groups go back one by one, so neither texts nor tokens of a whole batch are ever held.
