@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankwell.operators.ranking import row_numbers
-from rankwell.runtime import small_side
+from rankwell.runtime import BROADCAST_ROWS, durable, small_side
 
 ROLE = r"^[A-Za-z][A-Za-z0-9]*$"
 CANDIDATE_ID = r"^([A-Za-z][A-Za-z0-9]*)_CAND_(\d{4,})$"
@@ -119,6 +121,50 @@ def unscored(candidates: DataFrame, ledger: DataFrame, run_id: str) -> DataFrame
     return candidates.join(ledger.filter(F.col("run_id") == run_id), ["role", "candidate_id"], "left_anti")
 
 
+#: How many first characters make a name's head, the most that fit a broadcast; how many places of a text a window holds;
+#: up to how many heads are looked for in a window at once.
+HEADS, WINDOW, FEW_HEADS = (8, 5, 3), 32, 16
+
+
+def name_mentions(questions: DataFrame, rankings: DataFrame) -> DataFrame:
+    """Candidates whose full name, in any case, occurs in a question of their role.
+
+    ``questions``: question_id, role, question; ``rankings``: role, candidate_id, name. A name starts where its head does:
+    every place of a question is looked up among the role's heads, which are few, and only where one stands are
+    the lengths of its names cut out and compared. Questions are cut into overlapping windows first, since a place
+    is found by counting from the start.
+    """
+    named = rankings.select("role", "candidate_id", F.lower("name").alias("_name")).filter(F.coalesce("_name", F.lit("")) != "")
+
+    def head(width: int) -> Column:
+        return F.substr("_name", F.lit(1), F.lit(width))
+
+    kinds = named.agg(*[F.approx_count_distinct(F.struct("role", head(w), F.length("_name"))) for w in HEADS]).first()
+    width = next((w for w, n in zip(HEADS, kinds) if n <= BROADCAST_ROWS // 2), HEADS[-1])
+    heads = small_side(named.select("role", head(width).alias("_head"), F.length("_name").alias("_len")).distinct())
+    # Names shorter than the width are heads of their own size.
+    sizes = small_side(heads.groupBy("role", F.length("_head").alias("_size")).agg(F.max("_len").alias("_long")))
+    places = F.greatest(F.lit(WINDOW), F.col("_long"))
+    windows = (
+        questions.select("question_id", "role", F.lower("question").alias("_q"))
+        .join(sizes, "role")
+        .select("question_id", "role", "_size", "_long", "_q", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_q")), places)).alias("_from"))
+        .select("question_id", "role", "_size", places.alias("_places"), F.substr("_q", F.col("_from"), places + F.col("_long") - 1).alias("_w"))
+    )
+    texts = [r._head for r in heads.select("_head").distinct().limit(FEW_HEADS + 1).collect()]
+    if 0 < len(texts) <= FEW_HEADS:
+        windows = windows.filter(reduce(Column.__or__, [F.contains("_w", F.lit(text)) for text in texts]))
+    last = F.greatest(F.lit(1), F.least(F.col("_places"), F.length("_w")))
+    found = (
+        windows.select("question_id", "role", "_size", "_w", F.explode(F.sequence(F.lit(1), last)).alias("_i"))
+        .withColumn("_head", F.coalesce(F.substr("_w", F.col("_i"), F.col("_size")), F.lit("")))
+        .join(heads, ["role", "_head"])
+        .select("question_id", "role", F.substr("_w", F.col("_i"), F.col("_len")).alias("_name"))
+        .distinct()
+    )
+    return found.join(named, ["role", "_name"]).select("question_id", "role", "candidate_id")
+
+
 def resolve_references(questions: DataFrame, rankings: DataFrame) -> DataFrame:
     """Candidates a question names by rank, by number or by full name.
 
@@ -127,44 +173,40 @@ def resolve_references(questions: DataFrame, rankings: DataFrame) -> DataFrame:
     """
     low = F.lower("question")
 
-    def numbers(pattern: str) -> DataFrame:
-        found = F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit(pattern), F.lit(1))))
-        return questions.select("question_id", "role", found.alias("_n")).withColumn("_n", F.col("_n").try_cast("long"))
+    def numbers(*patterns: str) -> Column:
+        return F.array_distinct(F.concat(*[F.regexp_extract_all(low, F.lit(p), F.lit(1)) for p in patterns]))
 
-    ranks = numbers(r"(?:rank|position|place)\s*(?:#|no\.?)?\s*(\d+)").unionByName(
-        numbers(r"(\d+)(?:st|nd|rd|th)\s*(?:rank|candidate|one)?")
-    )
-    by_rank = ranks.withColumnRenamed("_n", "rank").join(rankings, ["role", "rank"])
+    # Texts are searched for numbers once.
+    asked_for = durable(questions.select(
+        "question_id", "role",
+        numbers(r"(?:rank|position|place)\s*(?:#|no\.?)?\s*(\d+)", r"(\d+)(?:st|nd|rd|th)\s*(?:rank|candidate|one)?").alias("_ranks"),
+        numbers(r"(?:candidate|cand)\s*(?:#|no\.?)?\s*(\d+)").alias("_numbers"),
+    ))
+    ranks = asked_for.select("question_id", "role", F.explode("_ranks").alias("rank")).withColumn("rank", F.col("rank").try_cast("long"))
+    by_rank = ranks.join(rankings, ["role", "rank"])
 
-    asked = numbers(r"(?:candidate|cand)\s*(?:#|no\.?)?\s*(\d+)")
+    asked = asked_for.select("question_id", "role", F.explode("_numbers").alias("_n")).withColumn("_n", F.col("_n").try_cast("long"))
     exact = rankings.withColumn("_n", counter_of(F.col("candidate_id"))).select("role", "candidate_id", "_n", "rank")
     digits = rankings.select("role", "candidate_id", "rank", F.regexp_extract("candidate_id", r"CAND_(\d+)", 1).alias("_d"))
     # An id holds CAND_7 when its digits start with 7, so every prefix of the digits is a key.
     prefixes = digits.select(
-        "role", "candidate_id", "rank",
+        "role", "rank",
         F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_d"), F.lit(1))), lambda i: F.substr("_d", F.lit(1), i))).alias("_key"),
     )
     # Only the best rank of a key can be chosen, and it is found before any question is looked at.
-    prefixes = prefixes.groupBy("role", "_key").agg(F.min_by("candidate_id", "rank").alias("candidate_id"), F.min("rank").alias("rank"))
+    best = prefixes.groupBy("role", "_key").agg(F.min("rank").alias("rank"))
     spelled = asked.withColumn(
-        "_key", F.explode(F.array(F.col("_n").cast("string"), F.format_string("%03d", F.col("_n"))))
+        "_key", F.explode(F.array_distinct(F.array(F.col("_n").cast("string"), F.format_string("%03d", F.col("_n")))))
+    )
+    loose = (
+        spelled.join(best, ["role", "_key"]).join(digits, ["role", "rank"]).filter(F.startswith("_d", "_key"))
+        .select("question_id", "role", "_n", "candidate_id", "rank", F.lit(1).alias("_p"))
     )
-    loose = spelled.join(prefixes, ["role", "_key"]).select("question_id", "role", "_n", "candidate_id", "rank", F.lit(1).alias("_p"))
     tight = asked.join(exact, ["role", "_n"]).select("question_id", "role", "_n", "candidate_id", "rank", F.lit(0).alias("_p"))
     by_number = tight.unionByName(loose).groupBy("question_id", "role", "_n").agg(
         F.min_by("candidate_id", F.struct("_p", "rank")).alias("candidate_id")
     )
 
-    # A name occurs in a question when it equals one of the question's substrings of the name's length.
-    named = rankings.select("role", "candidate_id", F.lower("name").alias("_name")).filter(F.coalesce("_name", F.lit("")) != "")
-    lengths = named.select("role", F.length("_name").alias("_len")).distinct()
-    starts = F.sequence(F.lit(1), F.length("_q") - F.col("_len") + 1)
-    parts = (
-        questions.select("question_id", "role", low.alias("_q"))
-        .join(lengths, "role")
-        .filter(F.col("_len") <= F.length("_q"))
-        .select("question_id", "role", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substr("_q", i, F.col("_len"))))).alias("_name"))
-    )
-    by_name = parts.join(named, ["role", "_name"])
+    by_name = name_mentions(questions, rankings)
     columns = ["question_id", "role", "candidate_id"]
-    return by_rank.select(*columns).unionByName(by_number.select(*columns)).unionByName(by_name.select(*columns)).distinct()
+    return by_rank.select(*columns).unionByName(by_number.select(*columns)).unionByName(by_name).distinct()
