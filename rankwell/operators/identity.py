@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,18 +119,17 @@ def unscored(candidates: DataFrame, ledger: DataFrame, run_id: str) -> DataFrame
     return candidates.join(ledger.filter(F.col("run_id") == run_id), ["role", "candidate_id"], "left_anti")
 
 
-#: How many first characters make a name's head, the most that fit a broadcast; how many places of a text a window holds;
-#: up to how many heads are looked for in a window at once.
-HEADS, WINDOW, FEW_HEADS = (8, 5, 3), 32, 16
+#: How many first characters make a name's head, the most that fit a broadcast; up to how many heads one pattern holds; how many
+#: places of a text a window holds.
+HEADS, FEW_HEADS, WINDOW = (8, 5, 3), 16, 64
 
 
 def name_mentions(questions: DataFrame, rankings: DataFrame) -> DataFrame:
     """Candidates whose full name, in any case, occurs in a question of their role.
 
     ``questions``: question_id, role, question; ``rankings``: role, candidate_id, name. A name starts where its head does:
-    every place of a question is looked up among the role's heads, which are few, and only where one stands are
-    the lengths of its names cut out and compared. Questions are cut into overlapping windows first, since a place
-    is found by counting from the start.
+    places of a question are looked up among the role's heads, which are few, and only where one stands are
+    the lengths of its names cut out and compared.
     """
     named = rankings.select("role", "candidate_id", F.lower("name").alias("_name")).filter(F.coalesce("_name", F.lit("")) != "")
 
@@ -144,20 +141,15 @@ def name_mentions(questions: DataFrame, rankings: DataFrame) -> DataFrame:
     heads = small_side(named.select("role", head(width).alias("_head"), F.length("_name").alias("_len")).distinct())
     # Names shorter than the width are heads of their own size.
     sizes = small_side(heads.groupBy("role", F.length("_head").alias("_size")).agg(F.max("_len").alias("_long")))
-    places = F.greatest(F.lit(WINDOW), F.col("_long"))
-    windows = (
-        questions.select("question_id", "role", F.lower("question").alias("_q"))
-        .join(sizes, "role")
-        .select("question_id", "role", "_size", "_long", "_q", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_q")), places)).alias("_from"))
-        .select("question_id", "role", "_size", places.alias("_places"), F.substr("_q", F.col("_from"), places + F.col("_long") - 1).alias("_w"))
-    )
     texts = [r._head for r in heads.select("_head").distinct().limit(FEW_HEADS + 1).collect()]
+    asked = questions.select("question_id", "role", F.lower("question").alias("_q"))
     if 0 < len(texts) <= FEW_HEADS:
-        windows = windows.filter(reduce(Column.__or__, [F.contains("_w", F.lit(text)) for text in texts]))
-    last = F.greatest(F.lit(1), F.least(F.col("_places"), F.length("_w")))
+        longest = sizes.agg(F.max("_long")).first()[0]
+        starts = _starts_of(asked, texts, longest).join(sizes, "role").withColumn("_i", F.lit(1))
+    else:
+        starts = _all_places(asked.join(sizes, "role"))
     found = (
-        windows.select("question_id", "role", "_size", "_w", F.explode(F.sequence(F.lit(1), last)).alias("_i"))
-        .withColumn("_head", F.coalesce(F.substr("_w", F.col("_i"), F.col("_size")), F.lit("")))
+        starts.withColumn("_head", F.coalesce(F.substr("_w", F.col("_i"), F.col("_size")), F.lit("")))
         .join(heads, ["role", "_head"])
         .select("question_id", "role", F.substr("_w", F.col("_i"), F.col("_len")).alias("_name"))
         .distinct()
@@ -165,6 +157,26 @@ def name_mentions(questions: DataFrame, rankings: DataFrame) -> DataFrame:
     return found.join(named, ["role", "_name"]).select("question_id", "role", "candidate_id")
 
 
+def _starts_of(asked: DataFrame, texts: list[str], longest: int) -> DataFrame:
+    """What follows every place where one of ``texts`` starts in ``_q``, with it and up to ``longest`` characters, as ``_w``."""
+    literals = "|".join("".join(f"\\x{{{ord(c):x}}}" for c in text) for text in texts)
+    ahead = F.lit(f"(?s)(?=(?:{literals}))(?=(.{{1,{longest}}}))")
+    return asked.select("question_id", "role", F.explode(F.regexp_extract_all("_q", ahead, F.lit(1))).alias("_w"))
+
+
+def _all_places(asked: DataFrame) -> DataFrame:
+    """Every place of ``_q`` as ``_i`` in a window ``_w``, which holds the ``_long`` characters from there on as well.
+
+    Windows overlap; texts are cut into them once, since a place is found by counting from the start.
+    """
+    places = F.greatest(F.lit(WINDOW), F.col("_long"))
+    windows = asked.select(
+        "question_id", "role", "_size", "_long", "_q", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_q")), places)).alias("_from")
+    ).select("question_id", "role", "_size", places.alias("_places"), F.substr("_q", F.col("_from"), places + F.col("_long") - 1).alias("_w"))
+    last = F.greatest(F.lit(1), F.least(F.col("_places"), F.length("_w")))
+    return windows.select("question_id", "role", "_size", "_w", F.explode(F.sequence(F.lit(1), last)).alias("_i"))
+
+
 def resolve_references(questions: DataFrame, rankings: DataFrame) -> DataFrame:
     """Candidates a question names by rank, by number or by full name.
 

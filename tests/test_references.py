@@ -45,6 +45,16 @@ def test_many_heads_and_none(spark):
     assert mentions(spark, questions, [(*r[:3], None) for r in rankings]) == set() == mentions(spark, [], rankings)
 
 
+def test_few_heads_of_odd_characters(spark):
+    rankings = [("r", f"X_CAND_{i:04d}", i, name) for i, name in enumerate(
+        ["Ann", "Annabel Lee Jr", "Annabel Poe", "a.*+?(b)[c]", "\\Q\\E|$^", "😀 smile", "\nline\n", "an", "İstanbul"] + [f"Annabel {'x' * n}" for n in (3, 90, 400)])]
+    texts = ["", "ANNABEL LEE JR and ann", "annannabel poeannabel lee jr", "xa.*+?(b)[c]", "ab", "\\q\\e|$^", "x😀 smile😀", "?smile", "a\nline\n", "i̇stanbul", "İSTANBUL",
+             "annabel " + "x" * 399, "annabel " + "x" * 401, "ann" * 200]
+    questions = [(f"q{i}", "rs"[i == 4], text) for i, text in enumerate(texts)] + [("none", "r", None)]
+    want = by_hand(questions, rankings)
+    assert len(want) > 20 and mentions(spark, questions, rankings) == want
+
+
 def records_shuffled(spark) -> int:
     context = spark.sparkContext
     quantiles = context._gateway.new_array(context._jvm.double, 0)
